@@ -32,7 +32,7 @@ REMEMBERED = 400_000
 
 
 def _word_pattern(white: str, letter: str, digit: str) -> str:
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{white}{letter}{digit}]+"
+    return f"[{letter}]+|[{digit}]|'(?:[stmd]|re|ve|ll)|[^{white}{letter}{digit}]+"
 
 
 _FAST = re.compile(_word_pattern(_WHITE, _LATIN_L, _LATIN_N))

@@ -34,11 +34,18 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlink.llm.packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_packing": op7_packing,
 }
 
 ORACLES: dict[str, str] = {}
