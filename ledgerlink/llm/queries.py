@@ -28,6 +28,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlink.llm.sstable import token_tables
+
+    return token_tables(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlink.llm.near_dedup import near_duplicates
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op5_token_tables": op5_token_tables,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_packing": op7_packing,
 }
