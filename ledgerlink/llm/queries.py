@@ -46,6 +46,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlink.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -53,6 +59,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_tables": op5_token_tables,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+        d as (select page_id, octet_length(b)::bigint as payload_bytes, sha256(b) as payload_digest from p),
+        f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from d)
+        select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+            case when first <> page_id then first end as refers_to from f""",
+}
