@@ -31,6 +31,8 @@ LEAST_CHI = 15.0
 LEAST_DOCS = 4
 NEIGHBOURS = 15
 BLOCK = 64
+#: Lengths of the beginnings of words that are terms too.
+BEGINNINGS = (3, 4, 5, 6)
 _TERM = re.compile(r"\w+")
 
 
@@ -40,7 +42,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def terms(text: str | None) -> Counter:
-    return Counter(_TERM.findall((text or "").lower()))
+    """Words of a whole text and, behind a mark that no word has, the beginnings of longer words.
+
+    Beginnings let inflected forms of a word meet, as ``idiot`` and ``idiots`` do.
+    """
+    words = Counter(_TERM.findall((text or "").lower()))
+    out = Counter(words)
+    for word, n in words.items():
+        for k in BEGINNINGS:
+            if len(word) > k:
+                out["^" + word[:k]] += n
+    return out
 
 
 class Index:
