@@ -28,6 +28,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlink.llm.ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op5_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlink.llm.sstable import token_tables
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op4_ann": op4_ann,
     "op5_token_tables": op5_token_tables,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_packing": op7_packing,
