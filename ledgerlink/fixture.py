@@ -17,7 +17,7 @@ select case when p_partkey%11=0 then '5'||lpad(cast(p_partkey as varchar(12)),7,
  upper(p_name||' '||translate(lpad(cast(p_partkey % 1500 as varchar(9)),5,'0'),'0123456789','kabelinoru')||case when p_partkey%13=0 then ' Fund II' else '' end||case p_partkey%4 when 0 then ' LTD.' when 1 then ' Aktiengesellschaft' when 2 then ' Limited Partnership' else ' Inc' end) as company_name,
  case p_size%4 when 0 then 'GB' when 1 then 'DE' when 2 then 'FR' else null end as country_of_origin,
  'P'||lpad(cast(p_partkey%300 as varchar(9)),4,'0') as post_code,
- case when p_partkey%9=0 then p_name||' Old' end as previous_name_1, p_partkey from {part} where p_partkey%3<>0"""
+ case when p_partkey%7=0 then p_name||' Old' end as previous_name_1, p_partkey from {part} where p_partkey%3<>0"""
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

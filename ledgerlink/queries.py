@@ -13,7 +13,7 @@ from ledgerlink.functions.similarity import jaro_winkler, token_sort_ratio
 from ledgerlink.operators import ledger
 from ledgerlink.plans import blocking, corpus, evaluate, frequency, resolve
 from ledgerlink.plans.prepare import prepare_records
-from ledgerlink.runtime import prepare
+from ledgerlink.runtime import materialise, prepare
 from ledgerlink.sources import legacy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,7 @@ def _positives(spark: SparkSession, d: str) -> DataFrame:
 
 def _labelled_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All candidates and all positives as pairs with a label; and the prepared records."""
-    base = _prepared(spark, d)
+    base = materialise(_prepared(spark, d), "records")
     pos = _positives(spark, d).withColumn("label", F.lit("match"))
     found = blocking.candidate_pairs(base).select("left_key", "right_key")
     pairs = found.join(pos, ["left_key", "right_key"], "full_outer").select("left_key", "right_key", F.coalesce("label", F.lit("no_match")).alias("label"))
@@ -283,12 +283,12 @@ def arm_report(spark: SparkSession, d: str) -> DataFrame:
 _GRID = "(case when hard_signal in ('identifier_agreement', 'identifying_name_agreement') then 'match' when hard_signal is not null then 'no_match' when {m} then 'match' when {n} then 'no_match' else 'review' end)"
 
 
-@query("with " + _FEAT + ", at as (select unnest(range(8))::int as step, unnest([0.86, 0.88, 0.90, 0.92, 0.94, 0.96, 0.98, null]::double[]) as threshold), said as (select label, step, threshold, " + _GRID.format(m="score >= threshold", n="score < 0.66") + f" as decision from scored cross join at), c as ({_confusion('said', 'step, threshold')}), r as ({_rates('c', 'step, threshold, fp')}) select step, threshold, precision, recall, f1, fp, review_rate from r")
+@query("with " + _FEAT + ", grid as (select unnest(range(8))::int as step, unnest([0.86, 0.88, 0.90, 0.92, 0.94, 0.96, 0.98, null]::double[]) as threshold), said as (select label, step, threshold, " + _GRID.format(m="score >= threshold", n="score < 0.66") + f" as decision from scored cross join grid), c as ({_confusion('said', 'step, threshold')}), r as ({_rates('c', 'step, threshold, fp')}) select step, threshold, precision, recall, f1, fp, review_rate from r")
 def match_sweep(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.match_sweep(resolve.resolve(_labelled(spark, d), everywhere=False))
 
 
-@query("with " + _FEAT + ", at as (select unnest(range(7))::int as step, unnest([0.55, 0.62, 0.66, 0.70, 0.74, 0.78, 0.82]::double[]) as threshold), said as (select label, step, threshold, " + _GRID.format(m="false", n="score < threshold") + f" as decision from scored cross join at), c as ({_confusion('said', 'step, threshold')}), r as ({_rates('c', 'step, threshold, review_positive, review_negative')}) select step, threshold, precision, recall, review_rate, review_positive + review_negative as queue_size, case when review_positive + review_negative > 0 then round(review_positive / (review_positive + review_negative), 4) else 0.0 end as queue_yield from r")
+@query("with " + _FEAT + ", grid as (select unnest(range(7))::int as step, unnest([0.55, 0.62, 0.66, 0.70, 0.74, 0.78, 0.82]::double[]) as threshold), said as (select label, step, threshold, " + _GRID.format(m="false", n="score < threshold") + f" as decision from scored cross join grid), c as ({_confusion('said', 'step, threshold')}), r as ({_rates('c', 'step, threshold, review_positive, review_negative')}) select step, threshold, precision, recall, review_rate, review_positive + review_negative as queue_size, case when review_positive + review_negative > 0 then round(review_positive / (review_positive + review_negative), 4) else 0.0 end as queue_yield from r")
 def review_sweep(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.review_sweep(resolve.resolve(_labelled(spark, d), everywhere=False))
 
