@@ -134,8 +134,10 @@ def test_packing_round_trip(spark, sf_dir):
             assert o == at
             at += n
         assert at <= 1024
-    need = packing.lower_bound(np.array([r.length for r in rows]))
-    assert need <= len(bins) <= need + 2
+    lengths = np.array([r.length for r in rows])
+    whole = int(packing.best_fit_decreasing(lengths)[0].max()) + 1
+    # small partitions come close to packing all at once
+    assert packing.lower_bound(lengths) <= len(bins) <= 1.02 * whole + 1
     assert packing.best_fit_packing(docs.limit(0), BYTE).count() == 0
 
 
