@@ -1,25 +1,26 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
-1. Each document's set of distinct word shingles is hashed once; the ``K`` smallest values are its
-   sketch. Documents with equal sets become one class.
+1. Each document's set of distinct word shingles is hashed once; its smallest values are its sketch.
+   Documents with equal sets become one class.
 2. Inverted lists map a retained value to the classes that hold it. Two sets of Jaccard 0.75 share at
-   least ``SHARED`` of ``K`` retained values but for a chance below 1e-7, so each class is listed only
-   under its rarest retained values (all but ``SHARED - 1`` of them): two such classes still meet, and
-   values that very many texts hold (a common passage) drop out.
-3. In each list the classes are compared with one pivot, not with each other. Links join classes to
-   components; a list whose classes are all of one component is settled. What is left is compared with
-   a second pivot, and at last across components, pair by pair: no pair that could change a component
-   goes unseen, and no list emits all its pairs.
-4. A pair must pass the estimate from the sketch of the union, then its exact Jaccard decides: from the
-   sketches where they hold the whole sets, else from full sets, hashed again from the texts.
+   least ``SHARED`` of their ``HEADS`` smallest values but for a chance below 1e-7, so each class is
+   listed only under the rarest of these (all but ``SHARED - 1``): two such classes still meet, and values
+   that very many texts hold (a common passage) drop out.
+3. In each list the classes are compared with one pivot, the class whose values are held most. Links join
+   classes to components; a list of one component is settled. A second round takes a pivot outside the
+   first one's component. In what is left, blocks of bounded size are compared with each other: overlaps
+   of all pairs of two blocks are one matrix product, and only pairs of different components that the
+   union's sketch allows come out; first each class's best pair alone, then all that still join different
+   components. So no pair that could change a component goes unseen.
+4. Exact Jaccard of full sets, hashed again from the texts, decides on every pair.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,16 @@ from ledgerlink.llm.common import map_rows, slim
 from ledgerlink.operators.graph import connected_components
 from ledgerlink.runtime import materialise
 
-K = 48
+#: Retained values by which classes are listed, and those that two linked sets share at least.
+HEADS = 48
 SHARED = 20
+#: Retained values of the sketch that estimates a union's Jaccard, 31 bits each.
+K = 128
+#: The estimate may lie so many standard errors below 0.75.
+SIGMAS = 5.0
 WORDS = 5
+#: Classes of one list that are compared at once.
+BLOCK = 1_024
 #: Words whose hashes a task remembers at most.
 REMEMBERED = 1_000_000
 #: At most so many ids are broadcast to fetch the texts of compared classes; beyond it the join shuffles.
@@ -70,7 +78,7 @@ def shingle_hashes(text: str | None, known: dict, words: int = WORDS) -> np.ndar
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) of (doc_id, text); set_id is null for an empty set."""
+    """(doc_id, n_shingles, set_id, heads, sketch) of (doc_id, text); set_id is null for an empty set."""
 
     def make():
         known = _WordHashes()
@@ -81,67 +89,107 @@ def sketches(docs: DataFrame) -> DataFrame:
                 "doc_id": ids,
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "sketch": [s[:K].view(np.int64) for s in sets],
+                "heads": [s[:HEADS].view(np.int64) for s in sets],
+                "sketch": [(s[:K] >> np.uint64(33)).astype(np.int32) for s in sets],
             }
 
         return work
 
-    return map_rows(docs, "doc_id long, n_shingles long, set_id binary, sketch array<long>", make)
+    return map_rows(docs, "doc_id long, n_shingles long, set_id binary, heads array<long>, sketch array<int>", make)
 
 
 def _least_shared(n: Column) -> Column:
-    """Retained values that two linked sets share at least, the smaller of ``n`` values."""
+    """Heads that two linked sets share at least, the smaller of ``n`` values."""
     return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(n / 2)))
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, id): the classes to compare under each value, from (id, n, sketch)."""
-    held = classes.select("id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    """(value, id, support): the classes to compare under each value, from (id, n, heads).
+
+    ``support`` counts the classes that hold a class's values: it is largest at the centre of a group.
+    """
+    held = classes.select("id", "n", F.size("heads").alias("k"), F.explode("heads").alias("value"))
     often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = held.join(often, "value")
     # values of one class alone are the rarest and use up its places
     places = F.first("k") - _least_shared(F.floor(F.first("n") * 0.75)) + 1 - (F.first("k") - F.count(F.lit(1)))
-    rare = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"), places.cast("int").alias("places")).where("places > 0")
-    return rare.select("id", F.explode(F.expr("slice(held, 1, places)")).alias("x")).select(F.col("x.value").alias("value"), "id")
+    rare = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"), places.cast("int").alias("places"), F.sum("df").alias("support")).where("places > 0")
+    return rare.select("id", "support", F.explode(F.expr("slice(held, 1, places)")).alias("x")).select(F.col("x.value").alias("value"), "id", "support")
 
 
-def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that sizes and the union's sketch allow, with what is known of their Jaccard."""
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-    both = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b")
-    return both.where(_possible()).select("a", "b", "n_a", "n_b", _common().alias("common"))
+def _bar(overlap, union, n_a, n_b):
+    """Whether a Jaccard of 0.75 is possible, given the sketches' overlap and union below the smaller of their ends.
+
+    The values below that end are a sample without replacement of the whole union, so the error is
+    hypergeometric; it vanishes where sketches hold the whole sets.
+    """
+    whole = np.maximum((n_a + n_b) / 1.75, union)
+    error = np.sqrt(0.75 * 0.25 / np.maximum(union, 1) * np.maximum(whole - union, 0) / np.maximum(whole - 1, 1))
+    return (overlap >= (0.75 - SIGMAS * error - 1e-9) * union) & (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b))
 
 
-def _common() -> Column:
-    return F.size(F.array_intersect("s_a", "s_b"))
+def _end(sketch: np.ndarray, n: int) -> int:
+    """Up to which value a sketch knows its set: its last one, or all if it holds the whole set."""
+    return int(sketch[-1]) if n > len(sketch) else 1 << 31
 
 
-def _possible() -> Column:
-    """Whether sizes and sketches allow a Jaccard of 0.75.
+def possible_pairs(n_a: np.ndarray, s_a: list, n_b: np.ndarray, s_b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of two blocks' pairs: whether they may have a Jaccard of 0.75, and its estimate.
 
-    The smallest ``K`` of the union's values estimate the Jaccard: those of them in both sketches over
-    ``K``. The bar lies five standard deviations below 0.75; sets within their sketches are exact.
+    Overlaps are products of presence matrices over the values that the blocks share, some columns at
+    a time.
     """
-    sizes = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
-    hits = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    bar = K * (0.75 - 5 * math.sqrt(0.75 * 0.25 / K))
-    small = F.greatest("n_a", "n_b") <= K
-    return sizes & F.when(small, 4 * _common() >= 3 * (F.col("n_a") + F.col("n_b") - _common())).otherwise(hits >= bar)
-
-
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard is at least 0.75."""
-    asked = materialise(_with_classes(pairs, classes), "dedup-asked")
-    small = F.greatest("n_a", "n_b") <= K
-    sure = asked.where(small).select("a", "b")
-    open_ = asked.where(~small)
-    ids = materialise(open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-ids")
-    n = ids.count()
-    if not n:
-        return sure
+    values_a, values_b = np.concatenate(s_a), np.concatenate(s_b)
+    both = np.intersect1d(values_a, values_b)
+    overlap = np.zeros((len(s_a), len(s_b)), np.float32)
+    row_a, row_b = np.repeat(np.arange(len(s_a)), [len(s) for s in s_a]), np.repeat(np.arange(len(s_b)), [len(s) for s in s_b])
+    for lo in range(0, len(both), 4096):
+        part = both[lo : lo + 4096]
+
+        def presence(values: np.ndarray, row: np.ndarray, rows: int, part: np.ndarray = part) -> np.ndarray:
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            out = np.zeros((rows, len(part)), np.float32)
+            out[row[hit], at[hit]] = 1
+            return out
+
+        overlap += presence(values_a, row_a, len(s_a)) @ presence(values_b, row_b, len(s_b)).T
+    ends_a = np.array([_end(s, n) for s, n in zip(s_a, n_a, strict=True)])
+    ends_b = np.array([_end(s, n) for s, n in zip(s_b, n_b, strict=True)])
+    ends = np.minimum(ends_a[:, None], ends_b[None, :])
+    below_a = np.vstack([np.searchsorted(s, e, side="right") for s, e in zip(s_a, ends, strict=True)])
+    below_b = np.vstack([np.searchsorted(s, e, side="right") for s, e in zip(s_b, ends.T, strict=True)]).T
+    union = below_a + below_b - overlap
+    return _bar(overlap, union, n_a[:, None], n_b[None, :]), overlap / np.maximum(union, 1)
+
+
+def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) that sizes and sketches allow."""
+    side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
+
+    def make():
+        def work(a: list, b: list, n_a: list, n_b: list, s_a: list, s_b: list) -> dict:
+            keep = []
+            for k in range(len(a)):
+                x, y = np.array(s_a[k]), np.array(s_b[k])
+                end = min(_end(x, n_a[k]), _end(y, n_b[k]))
+                overlap = len(np.intersect1d(x, y))
+                keep.append(bool(_bar(overlap, np.searchsorted(x, end, "right") + np.searchsorted(y, end, "right") - overlap, n_a[k], n_b[k])))
+            pick = lambda c: [v for v, f in zip(c, keep, strict=True) if f]
+            return {"a": pick(a), "b": pick(b), "n_a": pick(n_a), "n_b": pick(n_b)}
+
+        return work
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+    return map_rows(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), "a long, b long, n_a long, n_b long", make)
+
+
+def links(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of (a, b, n_a, n_b) whose exact Jaccard is at least 0.75."""
+    asked = materialise(asked, "dedup-asked")
+    ids = materialise(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-ids")
     # the count is the check: beyond it the join shuffles both sides
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def make():
         known = _WordHashes()
@@ -153,20 +201,79 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     full = materialise(map_rows(texts, "doc_id long, hashes array<long>", make), "dedup-sets")
     side = lambda s: full.select(F.col("doc_id").alias(s), F.col("hashes").alias(f"h_{s}"))
-    both = open_.join(side("a"), "a").join(side("b"), "b")
+    both = asked.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("h_a", "h_b"))
-    proved = both.select("a", "b", "n_a", "n_b", shared.alias("i")).where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b")
-    return sure.unionAll(proved)
+    return both.select("a", "b", "n_a", "n_b", shared.alias("i")).where("100 * i >= 75 * (n_a + n_b - i)").select("a", "b")
 
 
-def _pivots(lists: DataFrame, salt: str) -> DataFrame:
-    """Each list's classes paired with its pivot, in another component. lists: (value, id, comp)."""
-    # a pivot by hash, alike for lists of the same classes, so that their pairs fall together
-    pick = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64(F.lit(salt), F.col("id")).alias("h"), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p"))
-    both = lists.join(pick.select("value", "p.pivot", "p.pivot_comp"), "value").where("comp != pivot_comp")
+def _pivots(lists: DataFrame, outside: bool) -> DataFrame:
+    """Each list's classes of other components paired with its pivot. lists: (value, id, support, comp).
+
+    The pivot has the largest support, or the largest outside the component of that one.
+    """
+    best = lambda name: F.max(F.struct("support", (-F.col("id")).alias("id"), "comp")).alias(name)
+    pick = lists.groupBy("value").agg(best("p"))
+    if outside:
+        first = pick.select("value", F.col("p.comp").alias("first"))
+        pick = lists.join(first, "value").where("comp != first").groupBy("value").agg(best("p"))
+    both = lists.join(pick.select("value", (-F.col("p.id")).alias("pivot"), F.col("p.comp").alias("pivot_comp")), "value").where("comp != pivot_comp")
     return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """One list of each set of members: a group's classes share many values, so most lists are repeats."""
+    sign = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit("other"), "id").cast("decimal(20,0)")).alias("s2"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    chosen = sign.groupBy("m", "s1", "s2", "lo", "hi").agg(F.min("value").alias("value"))
+    return lists.join(chosen.select("value"), "value", "left_semi")
+
+
+def _blocked(lists: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of different components within lists that sketches allow.
+
+    With ``best``, of each class only the pair with the largest estimate: as in a spanning tree's rounds,
+    these join nearly all that belongs together, and few pairs are left for the round that takes all.
+    A task step meets two blocks of at most about ``BLOCK`` classes each.
+    """
+    sizes = lists.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = placed.select("value", "id", "comp", "block", other).select("value", "id", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    rows = spread.join(classes.select("id", "n", "sketch"), "id")
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        first = g["b1"].iloc[0]
+        left = g[g["block"] == first]
+        right = left if first == g["b2"].iloc[0] else g[g["block"] != first]
+        none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "b", "n_a", "n_b")} | {"estimate": np.empty(0)})
+        if left.empty or right.empty:
+            return none
+        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
+        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+        ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
+        if ca.min() == ca.max() == cb.min() == cb.max():
+            return none
+        fine, estimate = possible_pairs(na, left["sketch"].tolist(), nb, right["sketch"].tolist())
+        fine &= ca[:, None] != cb[None, :]
+        if best:
+            ranked = np.where(fine, estimate, -1.0)
+            only = np.zeros_like(fine)
+            only[np.arange(len(ia)), ranked.argmax(axis=1)] = True
+            only[ranked.argmax(axis=0), np.arange(len(ib))] = True
+            fine &= only
+        x, y = np.nonzero(fine)
+        swap = ia[x] > ib[y]
+        out = pd.DataFrame({"a": np.where(swap, ib[y], ia[x]), "b": np.where(swap, ia[x], ib[y]), "n_a": np.where(swap, nb[y], na[x]), "n_b": np.where(swap, na[x], nb[y]), "estimate": estimate[x, y]})
+        return out.drop_duplicates(["a", "b"])
+
+    found = rows.groupBy("value", "b1", "b2").applyInPandas(meet, "a long, b long, n_a long, n_b long, estimate double")
+    if not best:
+        return found.select("a", "b", "n_a", "n_b").distinct()
+    # of each class the best over all its lists
+    pair = F.struct("estimate", "a", "b", "n_a", "n_b")
+    each = found.select(pair.alias("p"), F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.max("p").alias("p"))
+    return each.select("p.a", "p.b", "p.n_a", "p.n_b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of each row among all rows of ``docs``, linked at Jaccard 0.75 of 5-word shingles.
 
@@ -180,23 +287,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = materialise(sketches(plain), "dedup-sketches")
     named = drawn.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     # sketches of equal sets are equal: the first will do
-    classes = materialise(named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "dedup-classes")
+    classes = materialise(named.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("heads").alias("heads"), F.first("sketch").alias("sketch")), "dedup-classes")
     body = classes.select("id", "n", "sketch")
-    lists = materialise(inverted_lists(body).withColumn("comp", F.col("id")), "dedup-lists")
+    lists = materialise(inverted_lists(classes.select("id", "n", "heads")).withColumn("comp", F.col("id")), "dedup-lists")
     found = None
     parts = None
-    for salt in ("first", "second", None):
-        if salt:
-            pairs = _pivots(lists, salt)
-        else:
-            # what two pivots left: classes of different components, tested inside the join
-            side = lambda s: lists.join(body, "id").select("value", F.col("id").alias(s), F.col("comp").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))  # noqa: E731, B023
-            pairs = side("a").join(side("b"), "value").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _possible()).select("a", "b").distinct()
-        new = materialise(links(pairs, body, plain), "dedup-links")
+    for step in ("centre", "outside", "best", "all"):
+        asked = _blocked(_distinct_lists(lists), body, step == "best") if step in ("best", "all") else _allowed(_pivots(lists, step == "outside"), body)
+        new = materialise(links(asked, plain), "dedup-links")
         found = new if found is None else found.unionAll(new)
         parts = materialise(connected_components(found), "dedup-components")
-        if salt:
-            fresh = lists.drop("comp").join(parts.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").select("value", "id", F.coalesce("c", "id").alias("comp"))
+        if step != "all":
+            fresh = lists.drop("comp").join(parts.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").select("value", "id", "support", F.coalesce("c", "id").alias("comp"))
             mixed = fresh.groupBy("value").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("value")
             lists = materialise(fresh.join(mixed, "value"), "dedup-lists")
             if lists.isEmpty():
