@@ -91,8 +91,13 @@ def with_features(pairs: DataFrame, everywhere: bool = True) -> DataFrame:
     })
 
 
+def round4(c: Column) -> Column:
+    """Four places, halves away from zero; what is a half is judged at ten places, so that engines agree."""
+    return F.round(F.round(c, 10), 4)
+
+
 def contribution(feature: str) -> Column:
-    return F.round(F.col(feature) * F.lit(WEIGHTS[feature]), 4)
+    return round4(F.col(feature) * F.lit(WEIGHTS[feature]))
 
 
 def score() -> Column:
@@ -129,5 +134,5 @@ def evidence(resolved: DataFrame) -> DataFrame:
         "country_agreement": F.concat_ws(" vs ", F.coalesce("l_ctry_up", F.lit("missing")), F.coalesce("r_ctry_up", F.lit("missing"))),
         "address_similarity": F.concat_ws(" vs ", F.coalesce(F.left("l_addr", F.lit(44)), F.lit("missing")), F.coalesce(F.left("r_addr", F.lit(44)), F.lit("missing"))),
     }
-    parts = [F.struct(F.lit(f).alias("feature"), F.round(F.col(f), 4).alias("value"), F.lit(WEIGHTS[f]).alias("weight"), contribution(f).alias("contribution"), details[f].alias("detail")) for f in ORDER]
+    parts = [F.struct(F.lit(f).alias("feature"), round4(F.col(f)).alias("value"), F.lit(WEIGHTS[f]).alias("weight"), contribution(f).alias("contribution"), details[f].alias("detail")) for f in ORDER]
     return resolved.withColumn("signal_detail", signal_detail()).withColumn("contributions", F.array(*parts))

@@ -109,7 +109,7 @@ feat as (select sig.*, jaro_winkler_similarity(l_name_norm, r_name_norm) as name
  len(list_intersect(l_tok, r_tok)) / len(list_distinct(list_concat(l_tok, r_tok))) as token_overlap, len(list_intersect(l_rare, r_rare)) / len(list_distinct(list_concat(l_rare, r_rare))) as distinctive_token_agreement,
  case when l_acr <> '' and r_acr <> '' and (l_acr = r_acr or replace(l_core, ' ', '') = r_acr or replace(r_core, ' ', '') = l_acr) then 1.0 else 0.0 end::double as acronym_match,
  case when l_ctry is null or r_ctry is null then 0.5 when l_ctry = r_ctry then 1.0 else 0.0 end::double as country_agreement, coalesce(addr.sim, 0.5)::double as address_similarity from sig left join addr using (l_addr, r_addr)),
-scored as (select *, round(round(name_similarity * 0.22::double, 4) + round(identifying_name_similarity * 0.16::double, 4) + round(token_overlap * 0.08::double, 4) + round(distinctive_token_agreement * 0.32::double, 4) + round(acronym_match * 0.04::double, 4) + round(country_agreement * 0.08::double, 4) + round(address_similarity * 0.1::double, 4), 4) as score from feat),
+scored as (select *, round(round((name_similarity * 0.22::double)::decimal(20, 10), 4)::double + round((identifying_name_similarity * 0.16::double)::decimal(20, 10), 4)::double + round((token_overlap * 0.08::double)::decimal(20, 10), 4)::double + round((distinctive_token_agreement * 0.32::double)::decimal(20, 10), 4)::double + round((acronym_match * 0.04::double)::decimal(20, 10), 4)::double + round((country_agreement * 0.08::double)::decimal(20, 10), 4)::double + round((address_similarity * 0.1::double)::decimal(20, 10), 4)::double, 4) as score from feat),
 dec as (select *, case when hard_signal in ('identifier_agreement', 'identifying_name_agreement') then 'match' when hard_signal is not null then 'no_match' when score < 0.66 then 'no_match' else 'review' end as decision from scored)"""
 
 
@@ -248,9 +248,9 @@ def token_sort_names(spark: SparkSession, d: str) -> DataFrame:
     return _attached_positives(spark, d).select("left_key", "right_key", F.round(token_sort_ratio(F.col("l_name_norm"), F.col("r_name_norm")), 6).alias("similarity"))
 
 
-@query("with " + _FEAT + " select left_key, right_key, " + ", ".join(f"round({f}, 4) as {f}" for f in resolve.ORDER) + " from feat")
+@query("with " + _FEAT + " select left_key, right_key, " + ", ".join(f"round({f}::decimal(20, 10), 4)::double as {f}" for f in resolve.ORDER) + " from feat")
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.with_features(_labelled(spark, d)).select("left_key", "right_key", *[F.round(f, 4).alias(f) for f in resolve.ORDER])
+    return resolve.with_features(_labelled(spark, d)).select("left_key", "right_key", *[resolve.round4(F.col(f)).alias(f) for f in resolve.ORDER])
 
 
 @query("with " + _FEAT + " select left_key, right_key, label, hard_signal, score, decision from dec")
