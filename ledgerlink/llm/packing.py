@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm.common import map_rows
-from ledgerlink.llm.words import WordCoder
+from ledgerlink.llm.words import coder
 from ledgerlink.runtime import materialise
 
 CAPACITY = 1024
@@ -37,12 +37,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     """A row for each piece of each row's whole text (null: empty), with ``end_id`` behind it."""
 
     def make():
-        coder = WordCoder(vocabulary)
+        own = coder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
 
         def work(ids: list, texts: list) -> dict:
             rows = []
-            for doc, coded in zip(ids, coder.encode([t or "" for t in texts]), strict=True):
+            for doc, coded in zip(ids, own.encode([t or "" for t in texts]), strict=True):
                 whole = memoryview(coded + end)
                 rows += [(doc, k, s, n, zlib.crc32(whole[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(whole) // 4, capacity))]
             return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(("doc_id", "piece", "start", "length", "ids_crc32"), [])

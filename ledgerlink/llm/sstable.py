@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlink.llm.common import map_rows
-from ledgerlink.llm.words import WordCoder
+from ledgerlink.llm.words import coder
 from ledgerlink.runtime import materialise, scratch
 
 MAGIC = b"LLSST\0\0\1"
@@ -215,12 +215,11 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
     Returns the manifest: part, number, path, entries, ids. Files are named by range and number and
     renamed into place when whole, so a task that runs again replaces its own files by the same.
     """
-    coder = WordCoder(vocabulary)
-    width = width or (2 if max(coder._library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
+    width = width or (2 if max(coder(vocabulary).size, end_id + 1) <= 1 << 16 else 4)
     kind = f"<u{width}"
 
     def make():
-        own = WordCoder(vocabulary)
+        own = coder(vocabulary)
         end = np.array([end_id], kind).tobytes()
 
         def work(ids: list, texts: list) -> dict:

@@ -6,7 +6,10 @@ word once and joins what it remembers.
 
 from __future__ import annotations
 
+import gc
 import re
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -20,8 +23,8 @@ _BYTE_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
 _BYTE_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _LATIN = re.compile("[\x00-ɏ‐-‧‰-⁞]*")
-#: Words remembered at most by a task.
-REMEMBERED = 400_000
+#: Words remembered at most by a worker.
+REMEMBERED = 300_000
 
 
 def split_byte_words(text: str) -> list[str]:
@@ -46,6 +49,7 @@ class WordCoder:
             self._split = split_words
             self._library.normalizer = normalizers.Sequence([])  # words come normalised
         self._known: dict[str, bytes] = {}
+        self.size = self._library.get_vocab_size()
 
     def _words(self, text: str) -> list[str]:
         if not self._cut or "<|" not in text or not self._cut.search(text):
@@ -57,16 +61,52 @@ class WordCoder:
         return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # nothing here makes cycles, and scanning so many live lists would cost a fifth of the time
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        get = self._known.get
         parts = [self._words(t) for t in texts]
-        every = set().union(*parts)
-        new = every.difference(self._known)
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            new = every
-        todo = [w for w in new if w[:2] != "\0\0"]
-        for w in new.difference(todo):
-            self._known[w] = self._special[w[2:]]
+        found = [list(map(get, words)) for words in parts]
+        new: set[str] = set()
+        for words, codes in zip(parts, found, strict=True):
+            if None in codes:
+                new.update(w for w, c in zip(words, codes, strict=True) if c is None)
+        if new:
+            fresh = self._learn(new)
+            for k, codes in enumerate(found):
+                if None in codes:
+                    found[k] = [fresh[w] if c is None else c for w, c in zip(parts[k], codes, strict=True)]
+        return [b"".join(codes) for codes in found]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Codes of new words, remembered as far as there is room; a full memory is emptied."""
+        todo = [w for w in new if w[:2] != "\0\0" or w[2:] not in self._special]
+        fresh = {w: self._special[w[2:]] for w in new.difference(todo)}
         for w, e in zip(todo, self._library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self._known[w] = np.array(e.ids, "<u4").tobytes()
-        take = self._known.__getitem__
-        return [b"".join(map(take, words)) for words in parts]
+            fresh[w] = _little_endian(e.ids)
+        if len(self._known) + len(fresh) > REMEMBERED:
+            self._known.clear()
+        self._known.update(fresh)
+        return fresh
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder(path: str) -> WordCoder:
+    """The process's coder of a vocabulary: what one task learned serves the worker's next."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
