@@ -31,6 +31,8 @@ LEAST_CHI = 15.0
 LEAST_DOCS = 4
 NEIGHBOURS = 15
 BLOCK = 64
+#: Words whose terms a task remembers at most.
+REMEMBERED = 500_000
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (3, 4, 5, 6)
 _TERM = re.compile(r"\w+")
@@ -46,15 +48,17 @@ def terms(text: str | None) -> Counter:
 
     Beginnings let inflected forms of a word meet, as ``idiot`` and ``idiots`` do.
     """
-    words = Counter(_TERM.findall((text or "").lower()))
-    out = Counter(words)
-    for word, n in words.items():
-        for k in BEGINNINGS:
-            if len(word) > k:
-                out["^" + word[:k]] += n
+    out: Counter = Counter()
+    for word, n in Counter(_TERM.findall((text or "").lower())).items():
+        for t in _of_word(word):
+            out[t] += n
     return out
 
 
+def _of_word(word: str) -> list[str]:
+    return [word, *["^" + word[:k] for k in BEGINNINGS if len(word) > k]]
+
+
 class Index:
     """Exact nearest examples by cosine, blocks visited by falling bound."""
 
@@ -66,13 +70,11 @@ class Index:
         self.toxic, self.ids = toxic[order], [ids[i] for i in order]
         self.blocks = max(1, -(-len(order) // BLOCK))
         self.most = np.zeros((len(vocabulary), self.blocks))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                b = place // BLOCK
-                lists.setdefault((t, b), []).append((place % BLOCK, w))
-                self.most[t, b] = max(self.most[t, b], w)
-        self.lists = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
+        postings = [(t, place, w) for place, i in enumerate(order) for t, w in vectors[i].items()]
+        self._postings = (np.array([p[0] for p in postings], np.int64), np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings]))
+        np.maximum.at(self.most, (self._postings[0], self._postings[1] // BLOCK), self._postings[2])
+        self._tiles = None
+        self._seen: dict[str, tuple[int, ...]] = {}
         # a vote counts as many labelled rows as its example stands for
         counts = np.bincount(toxic, minlength=2)
         self.weight = np.array([shares[c] / max(1, counts[c]) * len(ids) for c in (0, 1)])
@@ -80,27 +82,49 @@ class Index:
         self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.blank = shares[1]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tiles": None, "_seen": {}}
+
+    def tiles(self) -> np.ndarray:
+        """The postings, block by block: a block's weights by term and example. Built where they are used."""
+        if self._tiles is None:
+            self._tiles = np.zeros((self.blocks, len(self.at), BLOCK))
+            term, place, w = self._postings
+            self._tiles[place // BLOCK, term, place % BLOCK] = w
+        return self._tiles
+
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        if len(self._seen) > REMEMBERED:
+            self._seen.clear()
+        got = self._seen[word] = tuple(self.at[t] for t in _of_word(word) if t in self.at)
+        return got
+
+    def counts(self, text: str | None) -> Counter:
+        """How often each of the index's terms occurs in a whole text."""
+        seen, out = self._seen, Counter()
+        for word, n in Counter(_TERM.findall((text or "").lower())).items():
+            at = seen.get(word)
+            for k in self._of_word(word) if at is None else at:
+                out[k] += n
+        return out
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index in a text and their weights in its unit vector (over the index's terms)."""
-        found = [(self.at[t], n) for t, n in counts.items() if t in self.at]
-        if not found:
+        if not counts:
             return np.empty(0, np.int64), np.empty(0)
-        at = np.array([k for k, _ in found])
-        w = self.idf[at] * (1 + np.log([n for _, n in found]))
+        at = np.array(sorted(counts))
+        w = self.idf[at] * (1 + np.log([counts[k] for k in at.tolist()]))
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the ``k`` nearest, nearest first, ties to the smaller place; cosine 0 never counts."""
-        bound = w @ self.most[at]
+        bound, tiles = w @ self.most[at], self.tiles()
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
             # equal bounds may hold ties at smaller places, so only a smaller bound ends the search
             if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                if (held := self.lists.get((t, b))) is not None:
-                    score[held[0]] += x * held[1]
+            score = w @ tiles[b][at]
             hits = np.flatnonzero(score)
             best += [(score[p], b * BLOCK + p) for p in hits.tolist() if b * BLOCK + p != without]
             best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
@@ -129,8 +153,8 @@ class Index:
             means = [(s + 0.5 * self.prior) / (n + 0.5) for _, _, s, n in pools]
             self.steps = (np.array([e for p in pools for e in p[:2]]), np.maximum.accumulate(np.repeat(means, 2)))
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        at, w = self.vector(counts)
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        at, w = self.vector(self.counts(text))
         if not len(at):
             return self.blank, []
         near = self.nearest(at, w)
@@ -220,7 +244,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         own = shared.value
 
         def work(ids: list, out: list, texts: list) -> dict:
-            got = [own.score(terms(t)) for t in texts]
+            got = [own.score(t) for t in texts]
             return {"doc_id": ids, "held_out": out, "score": [s for s, _ in got], "predicted": [int(s >= 0.5) for s, _ in got], "evidence": [e for _, e in got]}
 
         return work
