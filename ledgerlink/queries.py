@@ -451,8 +451,8 @@ def label_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names with accents: the beginnings of texts as names. Decomposition has no SQL form; tests cover it."""
+    """Names with accents: whole texts as names. Decomposition has no SQL form; tests cover it."""
     prepare(spark)
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    rows = docs.select(F.col("source"), F.col("doc_id").cast("string").alias("source_id"), F.substring("text", 1, 40).alias("legal_name"), F.upper("lang").alias("country"))
+    rows = docs.select(F.col("source"), F.col("doc_id").cast("string").alias("source_id"), F.col("text").alias("legal_name"), F.upper("lang").alias("country"))
     return prepare_records(rows).select("record_key", "name_norm", "core", "acr", F.array_join("keys", "|").alias("keys"))

@@ -3,6 +3,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlink import queries
 from ledgerlink.functions import names as N
 from ledgerlink.functions import similarity as S
 
@@ -78,3 +79,27 @@ def test_similarities():
     for a, b in [("abcbdab", "bdcaba"), ("", "x"), ("aaaa", "aa"), ("straße 12", "12 strasse")]:
         assert S.common_subsequence(a, b) == slow(a, b)
     assert unicodedata.normalize("NFKD", "é")[0] == "e"
+
+
+def test_text_names_read_whole_texts(spark, tmp_path):
+    def by_force(text):
+        """name_norm, core, acr and keys of a text, token by token."""
+        folded = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower().replace("&", " and ")
+        parts = "".join(" " if c in " \n,;:/\\|+-_" else c for c in folded if c not in ".\"'`()[]{}*#").split()
+        norm = []
+        while parts:
+            wide = next(k for k in range(min(5, len(parts)), 0, -1) if k == 1 or " ".join(parts[:k]) in N.LEGAL_FORMS)
+            norm.append(N.LEGAL_FORMS.get(" ".join(parts[:wide]), parts[0]))
+            parts = parts[wide:]
+        core = [t for t in norm if t not in N.CANONICAL_FORMS] or norm
+        long = [t for t in norm if len(t) >= 4]
+        acr = "".join(t[0] for t in core)
+        keys = ([f"nameprefix:{min(long)[:4]}"] if long else []) + ([f"acronym:{acr}"] if len(acr) >= 2 else []) + ([f"token:{max(long, key=len)}:EN"] if long else [])
+        return " ".join(norm), " ".join(core), acr, "|".join(keys)
+
+    filler = " ".join(f"zo{k:02}" for k in range(30))
+    texts = [f"{filler} Aárdvark Company Limited & internationalisation", f"{filler}\nSpolka z ograniczona odpowiedzialnoscia, {filler} Ltd.", "Foo GmbH", "x" * 39 + " tail of a longer text"]
+    rows = [(k, t, "en", "web") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.record_key: (r.name_norm, r.core, r.acr, r["keys"]) for r in queries.text_names(spark, str(tmp_path)).collect()}
+    assert got == {f"web:{k}": by_force(t) for k, t in enumerate(texts)}
