@@ -1,13 +1,17 @@
 """Quality rules whose cutoffs carry an exact bound on false rejection.
 
-A rule is a text statistic with a fixed grid of cutoffs, named before any label is seen. For each
-stratum and rule the labelled good documents that pass the base rule are a holdout: a cutoff's false
-rejections are binomial, and the Clopper-Pearson upper bound at confidence ``1 - delta'`` must stay
-within the rule's share of ``alpha``. Cutoffs of one rule are tested from the loosest to the strictest
-and testing stops at the first failure (fixed-sequence testing needs no correction inside a rule);
-``delta' = delta / (strata * rules)`` is Bonferroni's correction across rules and strata. So with
-probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents. Among the
-certified cutoffs the one with the best balance of bad documents caught and good ones lost is used.
+A rule is a text statistic with a fixed grid of cutoffs, named before any label is seen. ``STEPS`` runs
+over all pairs of a rule and a cutoff, from the loosest to the strictest; after a step a document is
+rejected if it fails any cutoff so far. For each stratum the labelled good documents that pass the base
+rule are a holdout: the false rejections after a step, by all rules together, are binomial, and the
+Clopper-Pearson upper bound at confidence ``1 - delta'`` must stay within ``alpha``. Testing stops at the
+first failure (fixed-sequence testing needs no correction for the number of steps, so ``alpha`` is spent
+once); ``delta' = delta / strata`` is Bonferroni's correction across strata. A step that catches no more
+labelled bad documents than the looser cutoffs of its rule is left out: this looks at bad documents only,
+so the good ones still meet a sequence that does not depend on them. So with probability ``1 - delta`` no
+stratum loses more than ``alpha`` of its good documents. Among the certified steps the one with the best
+balance of bad documents caught and good ones lost is used. ``least_good`` is the smallest holdout that
+can certify anything; a stratum with fewer labelled good documents is not judged beyond the base rule.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ RULES: dict[str, list[float]] = {
     "upper_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
     "bang_share": [2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1],
 }
+#: Pairs of a rule and the place of its cutoff, by how far along its grid the cutoff is.
+STEPS = sorted(((r, j) for r, grid in RULES.items() for j in range(len(grid))), key=lambda x: ((x[1] + 1) / len(RULES[x[0]]), list(RULES).index(x[0])))
 ALPHA = 0.03
 DELTA = 0.05
 _SCHEMA = (
@@ -114,6 +120,11 @@ def upper_bound_within(k: int, n: int, delta: float, alpha: float) -> bool:
     return log_binomial_cdf(k, n, alpha) <= math.log(delta)
 
 
+def least_good(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """Labelled good documents without a false rejection that a stratum needs for a certificate."""
+    return math.ceil(math.log(delta / max(strata, 1)) / math.log1p(-alpha))
+
+
 def choose(good: int, good_hits: list[int], bad_hits: list[int], cutoffs: list[float], delta: float, alpha: float) -> float | None:
     """The cutoff to use, or None if none is certified or none helps."""
     best, at = 0.0, None
@@ -125,37 +136,64 @@ def choose(good: int, good_hits: list[int], bad_hits: list[int], cutoffs: list[f
     return at
 
 
+def first_steps(bad_hits: dict[str, list[int]]) -> dict[str, list[int | None]]:
+    """For each rule, by the number of its cutoffs that a document passes, the first step to reject it.
+
+    Steps that catch no bad document beyond the looser cutoffs of their rule are left out.
+    """
+    at = {step: k for k, step in enumerate(STEPS)}
+    out: dict[str, list[int | None]] = {}
+    for rule, hits in bad_hits.items():
+        first: list[int | None] = [None]
+        for j in range(len(hits) - 1, -1, -1):
+            first.append(at[rule, j] if hits[j] > (hits[j - 1] if j else 0) else first[-1])
+        out[rule] = first[::-1]
+    return out
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum with a column for each rule: the certified cutoff, or null.
+    """One row for each stratum with its good labels and a column for each rule: the certified cutoff, or null.
 
-    Counts are one partial aggregation; only a row for each stratum reaches the choice, which runs on
-    executors.
+    Counts are two partial aggregations, of bad documents by cutoff and of all by the first step that
+    rejects them; only a row for each stratum reaches the choice, which runs on executors.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = features.where(~base_failed()).join(marks, "doc_id")
-    is_good = F.col("quality") == 1
+    known = materialise(features.where(~base_failed()).join(marks, "doc_id").select("stratum", (F.col("quality") == 1).alias("is_good"), *RULES), "quality-known")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    aggs = [count(is_good).alias("good")]
-    for rule, grid in RULES.items():
-        for side, mark in (("g", is_good), ("b", ~is_good)):
-            aggs.append(F.array(*[count(mark & (F.col(rule) > c)) for c in grid]).alias(f"{side}_{rule}"))
-    counts = known.groupBy("stratum").agg(*aggs)
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
+    bad = known.groupBy("stratum").agg(*[F.array(*[count(~F.col("is_good") & (F.col(rule) > c)) for c in grid]).alias(f"b_{rule}") for rule, grid in RULES.items()])
+
+    def make_order():
+        def work(strata: list, *hits: list) -> dict:
+            rows = [first_steps(dict(zip(RULES, row, strict=True))) for row in zip(*hits, strict=True)]
+            return {"stratum": strata} | {f"first_{r}": [x[r] for x in rows] for r in RULES}
+
+        return work
+
+    order = materialise(map_rows(bad, "stratum string, " + ", ".join(f"first_{r} array<int>" for r in RULES), make_order), "quality-order")
+    passed = lambda rule: sum((F.col(rule) <= c).cast("int") for c in RULES[rule])
+    step = F.least(*[F.element_at(f"first_{rule}", passed(rule) + 1) for rule in RULES])
+    hit = known.join(order, "stratum").select("stratum", "is_good", step.alias("step"))
+    hits = lambda mark: F.array(*[count(mark & (F.col("step") <= k)) for k in range(len(STEPS))])
+    counts = hit.groupBy("stratum").agg(count(F.col("is_good")).alias("good"), hits(F.col("is_good")).alias("g"), hits(~F.col("is_good")).alias("b"))
+    rows = counts.join(order, "stratum").select("stratum", "good", "g", "b", *[f"first_{r}" for r in RULES])
+    strata = order.agg(F.count(F.lit(1)).alias("strata"))
     schema = "stratum string, good long, " + ", ".join(f"cut_{r} double" for r in RULES)
 
     def make():
-        def work(*columns: list) -> dict:
-            names = ["stratum", "good", *[f"{s}_{r}" for r in RULES for s in "gb"], "strata"]
-            got = dict(zip(names, columns, strict=True))
-            out = {"stratum": got["stratum"], "good": got["good"]}
-            for rule, grid in RULES.items():
-                out[f"cut_{rule}"] = [choose(n, g, b, grid, delta / (s * len(RULES)), alpha / len(RULES)) for n, g, b, s in zip(got["good"], got[f"g_{rule}"], got[f"b_{rule}"], got["strata"], strict=True)]
+        def work(strata: list, good: list, g: list, b: list, *rest: list) -> dict:
+            out: dict = {"stratum": strata, "good": good} | {f"cut_{r}": [] for r in RULES}
+            *firsts, totals = rest
+            for n, gs, bs, first, s in zip(good, g, b, zip(*firsts, strict=True), totals, strict=True):
+                last = choose(n, gs, bs, list(range(len(STEPS))), delta / s, alpha)
+                for rule, own in zip(RULES, first, strict=True):
+                    done = [STEPS[k][1] for k in own if k is not None and last is not None and k <= last]
+                    out[f"cut_{rule}"].append(RULES[rule][max(done)] if done else None)
             return out
 
         return work
 
     # one row joined to a row for each stratum: a broadcast of a single number
-    return map_rows(counts.join(F.broadcast(strata), F.lit(True)), schema, make)
+    return map_rows(rows.join(F.broadcast(strata), F.lit(True)), schema, make)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -94,6 +94,31 @@ def test_quality_rows(spark):
     assert free == 2201
 
 
+def test_quality_alpha_is_spent_once(spark):
+    """150 good documents of a language suffice at three strata; 100 do not. A rule without bad hits blocks nothing."""
+    clean, noisy = (" ".join(f"word{k}{mark}" for k in range(60)) for mark in ("", "%%%"))
+    loud = clean + " !" * 20  # good, but the loosest bang cutoffs that it fails catch no bad document
+    rows = [(k, f"{loud if k < 30 else clean} x{k}", "de") for k in range(150)] + [(k, f"{clean} x{k}", "fr") for k in range(200, 300)] + [(k, f"{clean} x{k}", "en") for k in range(400, 600)]
+    bad = [(1000 + k, f"{noisy} x{k}", lang) for k, lang in enumerate(("de", "fr", "en") * 10)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k, *_ in rows] + [(k, 0) for k, *_ in bad], "doc_id long, quality int")
+    assert quality_rules.least_good(3) == 135 and quality_rules.least_good(4) == 144
+    assert quality_rules.upper_bound_within(0, 144, 0.05 / 4, 0.03) and not quality_rules.upper_bound_within(0, 143, 0.05 / 4, 0.03)
+    got = quality_rules.quality_rules(docs, labels).where("not kept").collect()
+    assert {r.doc_id for r in got} == {k for k, _, lang in bad if lang != "fr"} and {r.failed_rules for r in got} == {"symbol_share"}
+
+
+def test_quality_steps_by_force():
+    rng = np.random.default_rng(2)
+    hits = {r: np.sort(rng.integers(0, 6, len(grid))).tolist() for r, grid in quality_rules.RULES.items()}
+    first = quality_rules.first_steps(hits)
+    for rule, grid in quality_rules.RULES.items():
+        useful = [j for j in range(len(grid)) if hits[rule][j] > max(hits[rule][:j], default=0)]
+        for passed in range(len(grid) + 1):
+            want = [k for k, (r, j) in enumerate(quality_rules.STEPS) if r == rule and j >= passed and j in useful]
+            assert first[rule][passed] == min(want, default=None)
+
+
 def test_secrets(spark):
     key = "AKIA" + "ABCD1234EFGH5678"
     text = f'ü password = "hunter2hunter2" token: short1 {key} {"0a" * 16} api_key=abcdefgh'
