@@ -40,6 +40,17 @@ GENERATORS = {
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
 }
 KINDS = (*BASE, *GENERATORS)
+#: Shapes of one number, proposed as ``number`` wherever a group of digits begins, so that each number of a
+#: run is a candidate however long the run is. Matches are empty (the number is in a lookahead) and may overlap.
+_SHAPES = (
+    r"\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}",
+    r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    r"[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}",
+    r"[0-9]{4}(?:[\x20-][0-9]{4}){3}",
+    r"0[0-9]{3}\x20[0-9]{6}",
+    r"[0-9]{7,22}+",
+)
+SHAPES = tuple(rf"(?<![0-9A-Za-z+.,/_-])(?=({s})(?![.,-]?[0-9A-Za-z_]))" for s in _SHAPES)
 #: Characters before a span that count as its context.
 REACH = 40
 _CUES = {
@@ -77,15 +88,15 @@ _VALID = {
 _SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
 
 
-def _spans(text: Column, found: Column, pieces: Column, kind: str) -> Column:
-    """Spans of matches, from the matches and the pieces between them."""
+def _spans(text: Column, found: Column, pieces: Column, kind: str, empty: bool = False) -> Column:
+    """Spans of matches, from the matches and the pieces between them; or of what stands at ``empty`` matches behind one character."""
     both = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(-1 if empty else 0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         first = a["at"] + F.length(x["p"])
         last = first + F.length(x["m"])
-        return F.struct(last.alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), x["m"].alias("found")))).alias("out"))
+        return F.struct((first if empty else last).alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), first.alias("start"), last.alias("end"), x["m"].alias("found")))).alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
 
@@ -98,6 +109,12 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str], guards: dic
     return df.withColumns({f"s_{k}": _spans(F.col(text), F.col(f"m_{k}"), F.col(f"p_{k}"), k) for k in patterns}).drop(*[f"m_{k}" for k in patterns], *[f"p_{k}" for k in patterns])
 
 
+def _shaped(text: Column, pattern: str) -> Column:
+    """Spans of a pattern of empty matches, each before a number: pieces between them end where numbers begin."""
+    led = F.concat(F.lit("\n"), text)  # a split drops the empty piece before a match at the very beginning
+    return _spans(text, F.regexp_extract_all(led, F.lit(pattern), F.lit(1)), F.split(led, pattern, -1), "number", empty=True)
+
+
 def _count(t: Column, chars: str) -> Column:
     return F.length(t) - F.length(F.translate(t, chars, ""))
 
@@ -133,8 +150,10 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     digit = t.rlike("[0-9](?:[ ().-]{0,2}[0-9]){6}")
     guards = {"mailto": t.contains("@") | t.rlike("[(\\[]at[)\\]]| at [A-Za-z0-9-]+(?: dot |\\.)"), "number": digit, "account": t.rlike("[A-Z]{2}[0-9]{2}")}
     df = with_matches(df, text, GENERATORS, guards)
-    every = F.concat(*[F.col(f"s_{k}") for k in GENERATORS])
-    return df.withColumn("raw", every).withColumn("cands", F.transform("raw", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), *[v.alias(k) for k, v in features(t, s).items()]))).drop("raw", *[f"s_{k}" for k in GENERATORS])
+    # a number that stands alone is proposed by both, and counts once
+    df = df.withColumn("s_shaped", F.when(digit, F.array_distinct(F.concat(*[_shaped(t, p) for p in SHAPES]))).otherwise(F.array().cast(_SPAN)))
+    every = F.concat(*[F.array_sort(F.array_union(f"s_{k}", "s_shaped")) if k == "number" else F.col(f"s_{k}") for k in GENERATORS])
+    return df.withColumn("raw", every).withColumn("cands", F.transform("raw", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), *[v.alias(k) for k, v in features(t, s).items()]))).drop("raw", "s_shaped", *[f"s_{k}" for k in GENERATORS])
 
 
 # ---- fitting: a fixed, made-up set; nothing of the corpus is read ----

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -284,3 +285,19 @@ def test_candidates_and_redaction(spark):
 def test_main_path_is_native(spark):
     plan = pii.personal_data(spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(1))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("PythonRDD", "").split("== Physical Plan ==")[1].replace("Scan ExistingRDD", ""))
+
+
+def test_each_number_of_a_run_is_proposed(spark):
+    shapes = [["555-123-4567", "555-222-3333", "555-444-5555"], ["123-45-6789"] * 12, ["4111 1111 1111 1111"] * 3, ["555 123 4567"] * 9, ["(555) 123-4567"] * 4, ["123456789"] * 5]
+    rows = [(k, lead + sep.join(numbers) + tail) for k, (numbers, lead, sep, tail) in enumerate(itertools.product(shapes, ("", "call é "), (" ", "\n", ", "), ("", " now")))]
+    wanted = {k: n for k, n in enumerate(n for n, *_ in itertools.product(shapes, range(2), range(3), range(2)))}
+    got = pii.candidates(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        spans = [(c.start, c.end) for c in r.cands if c.kind == "number"]
+        assert sorted(set(spans)) == spans and all(r.text[c.start : c.end] == c.found for c in r.cands)
+        at = 0
+        for n in wanted[r.id]:
+            at = r.text.index(n, at)
+            assert (at, at + len(n)) in spans, (r.text, n)
+            at += len(n)
