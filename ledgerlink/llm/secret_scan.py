@@ -72,9 +72,6 @@ def novel_spans(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
         start, end = m.span(1)
         # a long candidate is judged in pieces, each against the text before it, so cost is linear
         step = 256
-        piece = text[start : min(end, start + step)]
-        if not (any(map(str.isdigit, piece)) and any(map(str.isalpha, piece))):
-            continue
         costs = [novelty(text[max(0, a - CONTEXT) : a], text[a : min(end, a + step)], text[end : end + CONTEXT]) * (min(end, a + step) - a) for a in range(start, end, step)]
         if sum(costs) >= NOVEL * (end - start):
             found.append(("novel", start, end))

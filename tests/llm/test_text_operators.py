@@ -142,6 +142,15 @@ def test_novelty_tells_random_from_known():
     assert secret_scan.novel_spans("the key points are: readability_and_maintainability1", novelty) == []
 
 
+def test_novelty_decides_on_letters_alone_and_on_long_candidates():
+    novelty = secret_scan.Novelty()
+    rng = np.random.default_rng(5)
+    letters = "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz"), 340))
+    for key in (letters[:16], letters[:40], letters[:300], letters[:300] + "0123456789" * 2):
+        assert secret_scan.novel_spans(f"auth = {key} end", novelty) == [("novel", 7, 7 + len(key))]
+    assert secret_scan.novel_spans("the key points are: authorization_credential_placeholder", novelty) == []
+
+
 def test_toxicity_search_is_exact():
     rng = np.random.default_rng(3)
     vocabulary = [f"t{k}" for k in range(40)]
