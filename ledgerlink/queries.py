@@ -245,7 +245,7 @@ def jaro_winkler_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_sort_names(spark: SparkSession, d: str) -> DataFrame:
-    return _attached_positives(spark, d).select("left_key", "right_key", F.round(token_sort_ratio(F.col("l_name_norm"), F.col("r_name_norm")), 6).alias("similarity"))
+    return _labelled(spark, d).select("left_key", "right_key", F.round(token_sort_ratio(F.col("l_name_norm"), F.col("r_name_norm")), 6).alias("similarity"))
 
 
 @query("with " + _FEAT + " select left_key, right_key, " + ", ".join(f"round({f}::decimal(20, 10), 4)::double as {f}" for f in resolve.ORDER) + " from feat")
@@ -265,8 +265,8 @@ def decision_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def decision_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Contributions of positives, as text: order and wording have no SQL form worth keeping."""
-    return resolve.evidence(resolve.resolve(_attached_positives(spark, d))).select("left_key", "right_key", "decision", "score", "signal_detail", F.to_json("contributions").alias("contributions"))
+    """Contributions of every decision, as text: order and wording have no SQL form worth keeping."""
+    return resolve.evidence(resolve.resolve(_labelled(spark, d))).select("left_key", "right_key", "decision", "score", "signal_detail", F.to_json("contributions").alias("contributions"))
 
 
 # ---- evaluation ----

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlink import queries
 from ledgerlink.plans import blocking, corpus, evaluate, frequency, resolve
 from ledgerlink.plans.prepare import prepare_records, unique_keys
 
@@ -111,3 +112,13 @@ def test_variants_and_demo(spark):
     assert {r.right_key: r.v for r in got} == {"test:b": ["diacritic_or_casing_drift", "address_drift"], "test:c": ["legal_form_variance", "token_order_or_abbreviation"]}
     demo = spark.createDataFrame([(f"{k:02d}", "review", k / 10) for k in range(5)], "pair_id string, decision string, score double")
     assert [r.pair_id for r in corpus.demo_sample(demo, {"review": 2}).collect()] == ["01", "00"]
+
+
+def test_evidence_and_similarity_of_every_pair(spark, sf_dir):
+    decided = {(r.left_key, r.right_key): (r.decision, r.score) for r in queries.decisions(spark, sf_dir).collect()}
+    assert {d for d, _ in decided.values()} > {"match"}
+    told = queries.decision_evidence(spark, sf_dir).collect()
+    assert len(told) == len(decided) and {(r.left_key, r.right_key): (r.decision, r.score) for r in told} == decided
+    assert all(r.contributions for r in told)
+    alike = queries.token_sort_names(spark, sf_dir).collect()
+    assert len(alike) == len(decided) and {(r.left_key, r.right_key) for r in alike} == set(decided)
