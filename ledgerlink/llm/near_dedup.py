@@ -8,11 +8,14 @@
    that very many texts hold (a common passage) drop out.
 3. In each list the classes are compared with one pivot, the class whose values are held most. Links join
    classes to components; a list of one component is settled. A second round takes a pivot outside the
-   first one's component. In what is left, blocks of bounded size are compared with each other: overlaps
-   of all pairs of two blocks are one matrix product, and only pairs of different components that the
-   union's sketch allows come out; first each class's best pair alone, then all that still join different
-   components. So no pair that could change a component goes unseen.
-4. Exact Jaccard of full sets, hashed again from the texts, decides on every pair.
+   first one's component.
+4. Classes of lists that still mix components are listed anew, by their full sets: values that one
+   component alone holds cannot be shared across, which with the sizes rules out most of a drifting group.
+   What is left meets in blocks of bounded size; sketches choose the pairs, and a block returns no more
+   links than join its components.
+5. Exact Jaccard of full sets, hashed again from the texts, decides on every pair. A shingle stands in a
+   set as a 64-bit hash of its words: two different shingles of a pair take one value with a chance of
+   about 1e-15 for texts of 100 words.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ K = 128
 #: The estimate may lie so many standard errors below 0.75.
 SIGMAS = 5.0
 WORDS = 5
-#: Classes of one list that are compared at once.
+#: Classes of one list that are compared at once, and their shingles.
 BLOCK = 1_024
+BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a task remembers at most.
 REMEMBERED = 1_000_000
 #: At most so many ids are broadcast to fetch the texts of compared classes; beyond it the join shuffles.
@@ -184,10 +188,8 @@ def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), "a long, b long, n_a long, n_b long", make)
 
 
-def links(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of (a, b, n_a, n_b) whose exact Jaccard is at least 0.75."""
-    asked = materialise(asked, "dedup-asked")
-    ids = materialise(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-ids")
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, hashes) of the rows of ``docs`` that ``ids`` names, hashed again from their whole texts."""
     # the count is the check: beyond it the join shuffles both sides
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
@@ -199,7 +201,13 @@ def links(asked: DataFrame, docs: DataFrame) -> DataFrame:
 
         return work
 
-    full = materialise(map_rows(texts, "doc_id long, hashes array<long>", make), "dedup-sets")
+    return map_rows(texts, "doc_id long, hashes array<long>", make)
+
+
+def links(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of (a, b, n_a, n_b) whose exact Jaccard is at least 0.75."""
+    asked = materialise(asked, "dedup-asked")
+    full = materialise(_full_sets(docs, materialise(asked.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-ids")), "dedup-sets")
     side = lambda s: full.select(F.col("doc_id").alias(s), F.col("hashes").alias(f"h_{s}"))
     both = asked.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("h_a", "h_b"))
@@ -220,6 +228,12 @@ def _pivots(lists: DataFrame, outside: bool) -> DataFrame:
     return both.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one component."""
+    both = lists.groupBy("value").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("value")
+    return lists.join(both, "value")
+
+
 def _distinct_lists(lists: DataFrame) -> DataFrame:
     """One list of each set of members: a group's classes share many values, so most lists are repeats."""
     sign = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s1"), F.sum(F.xxhash64(F.lit("other"), "id").cast("decimal(20,0)")).alias("s2"), F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -227,51 +241,73 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
     return lists.join(chosen.select("value"), "value", "left_semi")
 
 
-def _blocked(lists: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of different components within lists that sketches allow.
+def unsettled_lists(full: DataFrame) -> DataFrame:
+    """(value, id, n, comp): who may still link across components, from full sets (id, comp, hashes).
 
-    With ``best``, of each class only the pair with the largest estimate: as in a spanning tree's rounds,
-    these join nearly all that belongs together, and few pairs are left for the round that takes all.
-    A task step meets two blocks of at most about ``BLOCK`` classes each.
+    A value that one component alone holds is in no overlap of two components. Of a set's ``n`` values let
+    ``s`` be the others, rarest first. If its partner's first shared value is the one at place ``r``, they
+    share at most ``o = s - r + 1``, and 7 * o >= 3 * (n + m) bounds the partner's size ``m``. So a set is
+    listed only while that leaves a size of at least 3/4 of its own, and only where the list's smallest
+    member is small enough. Every link between components has a list that holds both ends.
+    """
+    held = full.select("id", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    across = held.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("value", "df")
+    rare = held.join(across, "value").groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    rare = rare.withColumn("s", F.size("held")).withColumn("places", F.expr("s - ceil(3 * n / 4) + 1").cast("int")).where("places > 0")
+    at = rare.select("id", "comp", "n", "s", F.posexplode(F.expr("slice(held, 1, places)")).alias("r", "x"))
+    rows = materialise(at.select(F.col("x.value").alias("value"), "id", "n", "comp", F.expr("floor(7 * (s - r) / 3) - n").alias("largest")), "dedup-rare")
+    least = rows.groupBy("value").agg(F.min("n").alias("least"))
+    return _mixed(rows.join(least, "value").where("largest >= least").select("value", "id", "n", "comp"))
+
+
+def _meet(g: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join the components of two blocks: a spanning forest of the exact links."""
+    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    first = g["b1"].iloc[0]
+    left = g[g["block"] == first]
+    right = left if first == g["b2"].iloc[0] else g[g["block"] != first]
+    if left.empty or right.empty or g["comp"].nunique() == 1:
+        return none
+    ia, ib, ca, cb = (x[c].to_numpy() for c in ("id", "comp") for x in (left, right))
+    fine, estimate = possible_pairs(left["n"].to_numpy(), left["sketch"].tolist(), right["n"].to_numpy(), right["sketch"].tolist())
+    x, y = np.nonzero(fine & (ca[:, None] != cb[None, :]))
+    order = np.argsort(-estimate[x, y], kind="stable")
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            c = above
+        return c
+
+    sets_a, sets_b = left["hashes"].tolist(), right["hashes"].tolist()
+    found = []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        s, t = top(int(ca[i])), top(int(cb[j]))
+        if s == t:
+            continue
+        shared = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
+        if 7 * shared >= 3 * (len(sets_a[i]) + len(sets_b[j])):
+            up[s] = t
+            found.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
+    return pd.DataFrame(found, columns=["a", "b"]) if found else none
+
+
+def unsettled_links(lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components of ``lists``, by their full sets.
+
+    Sizes and sketches choose what is compared. A task step meets two blocks of bounded rows and shingles;
+    of the links it finds it returns those that join components it has not joined yet.
     """
-    sizes = lists.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    member = lists.select("id").distinct()
+    comp = lists.groupBy("id").agg(F.first("comp").alias("comp"))
+    full = materialise(_full_sets(docs, materialise(member.withColumnRenamed("id", "doc_id"), "dedup-ids")).select(F.col("doc_id").alias("id"), "hashes").join(comp, "id"), "dedup-sets")
+    left = materialise(_distinct_lists(materialise(unsettled_lists(full), "dedup-lists")), "dedup-lists")
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    placed = left.join(left.groupBy("value").agg(F.ceil(weight).cast("int").alias("blocks")), "value").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = placed.select("value", "id", "comp", "block", other).select("value", "id", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-    rows = spread.join(classes.select("id", "n", "sketch"), "id")
-
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        first = g["b1"].iloc[0]
-        left = g[g["block"] == first]
-        right = left if first == g["b2"].iloc[0] else g[g["block"] != first]
-        none = pd.DataFrame({c: np.empty(0, np.int64) for c in ("a", "b", "n_a", "n_b")} | {"estimate": np.empty(0)})
-        if left.empty or right.empty:
-            return none
-        ia, ib = left["id"].to_numpy(), right["id"].to_numpy()
-        na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-        ca, cb = left["comp"].to_numpy(), right["comp"].to_numpy()
-        if ca.min() == ca.max() == cb.min() == cb.max():
-            return none
-        fine, estimate = possible_pairs(na, left["sketch"].tolist(), nb, right["sketch"].tolist())
-        fine &= ca[:, None] != cb[None, :]
-        if best:
-            ranked = np.where(fine, estimate, -1.0)
-            only = np.zeros_like(fine)
-            only[np.arange(len(ia)), ranked.argmax(axis=1)] = True
-            only[ranked.argmax(axis=0), np.arange(len(ib))] = True
-            fine &= only
-        x, y = np.nonzero(fine)
-        swap = ia[x] > ib[y]
-        out = pd.DataFrame({"a": np.where(swap, ib[y], ia[x]), "b": np.where(swap, ia[x], ib[y]), "n_a": np.where(swap, nb[y], na[x]), "n_b": np.where(swap, na[x], nb[y]), "estimate": estimate[x, y]})
-        return out.drop_duplicates(["a", "b"])
-
-    found = rows.groupBy("value", "b1", "b2").applyInPandas(meet, "a long, b long, n_a long, n_b long, estimate double")
-    if not best:
-        return found.select("a", "b", "n_a", "n_b").distinct()
-    # of each class the best over all its lists
-    pair = F.struct("estimate", "a", "b", "n_a", "n_b")
-    each = found.select(pair.alias("p"), F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.max("p").alias("p"))
-    return each.select("p.a", "p.b", "p.n_a", "p.n_b").distinct()
+    spread = placed.select("value", "id", "block", other).select("value", "id", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    rows = spread.join(full, "id").join(classes.select("id", "n", "sketch"), "id")
+    return rows.groupBy("value", "b1", "b2").applyInPandas(_meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,15 +328,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialise(inverted_lists(classes.select("id", "n", "heads")).withColumn("comp", F.col("id")), "dedup-lists")
     found = None
     parts = None
-    for step in ("centre", "outside", "best", "all"):
-        asked = _blocked(_distinct_lists(lists), body, step == "best") if step in ("best", "all") else _allowed(_pivots(lists, step == "outside"), body)
-        new = materialise(links(asked, plain), "dedup-links")
+    for step in ("centre", "outside", "rest"):
+        new = materialise(unsettled_links(lists, body, plain) if step == "rest" else links(_allowed(_pivots(lists, step == "outside"), body), plain), "dedup-links")
         found = new if found is None else found.unionAll(new)
         parts = materialise(connected_components(found), "dedup-components")
-        if step != "all":
+        if step != "rest":
             fresh = lists.drop("comp").join(parts.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").select("value", "id", "support", F.coalesce("c", "id").alias("comp"))
-            mixed = fresh.groupBy("value").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("value")
-            lists = materialise(fresh.join(mixed, "value"), "dedup-lists")
+            lists = materialise(_mixed(fresh), "dedup-lists")
             if lists.isEmpty():
                 break
     by_set = classes.select("set_id", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
