@@ -26,7 +26,7 @@ _NOT_FINAL = "σ"
 _LATIN_L = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _LATIN_N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Text within this range needs no general Unicode tables.
-_PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞]*")
+PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞]*")
 #: Words remembered at most by a task.
 REMEMBERED = 400_000
 
@@ -53,7 +53,7 @@ def split_words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", _NOT_FINAL)
     low = text.lower()
-    return (_FAST if _PLAIN.fullmatch(low) else _GENERAL).findall(low)
+    return (_FAST if PLAIN.fullmatch(low) else _GENERAL).findall(low)
 
 
 class WordBpe:

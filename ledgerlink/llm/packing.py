@@ -1,15 +1,22 @@
 """Best-fit packing with certified bin counts.
 
 Documents become pieces of at most ``capacity`` tokens. Full pieces are sequences of their own; the rest
-are dealt to partitions of bounded size. Each partition packs by best-fit decreasing and compares its
-bin count with a lower bound from dual-feasible functions. A partition whose slack tells that documents
-elsewhere could close its gap gives up its loosest bins; what is given up is dealt anew, to fewer
-partitions, and packed again, until nothing is gained.
+are dealt to partitions of bounded size. A dual-feasible function maps lengths so that no full bin maps to
+more than a bin, so a sum of mapped lengths bounds the bins that any packing needs. The function that
+bounds all pieces best, found from the counts of lengths, also tells each partition its share of that
+bound. Each partition packs by best-fit decreasing; where its bins are its share, the packing is certified
+and stays whole. Where they are the share rounded up, it stays but for the loosest bins that hold the
+rounding's room: such remainders of several partitions make up whole bins. Any other partition gives up
+its loosest bins. What is given up is dealt anew, to fewer partitions, and packed again, until no gap is
+left or one partition holds all that is. Each row tells how many bins the partition that placed it kept,
+and the bound on the bins that its pieces need by themselves.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -80,57 +87,81 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs, by two families of dual-feasible functions.
+def best_function(count: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """(value, scale): of two families of dual-feasible functions the one that bounds ``count[n]`` pieces of each length ``n`` best.
 
-    A dual-feasible function maps lengths so that no full bin maps to more than a bin; the mapped sum is
-    then a bound. Thresholding: over ``capacity - e`` counts as a bin, under ``e`` as nothing. Rounding
-    with ``k``: ``(k + 1) * x`` if whole, else its floor over ``k``.
+    The bound is the sum of ``value`` over all pieces, over ``scale``. Thresholding: over ``capacity - e``
+    counts as a bin, under ``e`` as nothing. Rounding with ``k``: ``(k + 1) * x`` if whole, else its floor
+    over ``k``.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
-    size = np.arange(capacity + 1, dtype=np.int64)
-    best = -(-int((count * size).sum()) // capacity)
+    count, size = count.astype(np.int64), np.arange(capacity + 1, dtype=np.int64)
+    functions = [(size, capacity)]
     for e in range(1, capacity // 2 + 1):
-        whole = int(count[capacity - e + 1 :].sum())
-        middle = int((count * size)[e : capacity - e + 1].sum())
-        best = max(best, -(-(whole * capacity + middle) // capacity))
+        functions.append((np.where(size > capacity - e, capacity, np.where(size < e, 0, size)), capacity))
     for k in range(1, 41):
         up = size * (k + 1)
-        exact = up % capacity == 0
-        value = np.where(exact, size * k, up // capacity * capacity)  # times k * capacity
-        best = max(best, -(-int((count * value).sum()) // (k * capacity)))
-    return best
+        functions.append((np.where(up % capacity == 0, size * k, up // capacity * capacity), k * capacity))
+    return max(functions, key=lambda f: Fraction(int((count * f[0]).sum()), f[1]))
+
+
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Bins that any packing of ``lengths`` needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    value, scale = best_function(count, capacity)
+    return -(-int((count * value).sum()) // scale)
+
+
+def _counts(pieces: DataFrame, capacity: int) -> np.ndarray:
+    """Pieces of each length; at most ``capacity`` rows reach the driver."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return count
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Sequences of a whole packing, and the bound on any packing of its pieces."""
+    return packed.where("offset = 0").count(), bound_of_counts(_counts(packed, capacity), capacity)
 
 
 _PACKED = _PIECE + ", bucket long, bin long, offset long, settled boolean, bins long, bound long"
 
 
-def _pack_bucket(capacity: int, last: bool, released: int):
-    """Pack one bucket; settled rows keep their bin, the others go back into the next exchange."""
+def _pack_bucket(capacity: int, last: bool, released: int, function: tuple[np.ndarray, int]):
+    """Pack one bucket; settled rows keep their bin, the others go into the next exchange.
+
+    ``function`` is the dual-feasible function that bounds all pieces best.
+    """
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         n, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
-        fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+        value, scale = function
+        gap = Fraction(n) - Fraction(int(value[lengths].sum()), scale)
         settled = np.ones(len(rows), bool)
-        # with a bin fewer nothing fits, but others' documents may fill the room that is left
-        if not last and n * capacity > lengths.sum():
+        if not last and gap > 0:
+            fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
             size = np.bincount(bins, minlength=n)
             order = np.argsort(fill, kind="stable")
             order = order[fill[order] < capacity]
-            give = order[: max(1, int(np.searchsorted(np.cumsum(size[order]), released)))]
+            enough = int(np.searchsorted(np.cumsum(size[order]), released))
+            if gap < 1:
+                enough = min(enough, 1 + int(np.searchsorted(np.cumsum(capacity - fill[order]), math.ceil(gap * capacity))))
+            give = order[: max(1, enough)]
             settled = ~np.isin(bins, give)
+            n, bound = n - len(give), lower_bound(lengths[settled], capacity)
         return rows.assign(bin=bins, offset=offsets, settled=settled, bins=n, bound=bound)
 
     return pack
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each row of ``pieces``.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound of each row of ``pieces``.
 
     A round deals at most about ``partition_pieces`` rows to a partition whatever their keys, by a hash
     of the row's place, so repeated rows spread. Each round gives up a share of its loosest bins only;
@@ -138,21 +169,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     """
     placed = materialise(pieces, "packing-pieces")
     full = placed.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    full = full.withColumn("partition_bins", F.lit(1).cast("long")).withColumn("partition_bound", F.lit(1).cast("long"))
     loose = placed.where(F.col("length") < capacity)
-    done = full.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    done = full.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "partition_bins", "partition_bound")
     buckets = None
     for k in range(rounds):
-        n = loose.count()
-        if not n:
+        count = _counts(loose, capacity)
+        if not count.any():
             break
-        want = -(-n // partition_pieces)
+        want = -(-int(count.sum()) // partition_pieces)
         buckets = want if buckets is None else min(want, max(1, buckets // 2))
         last = buckets == 1 or k == rounds - 1
         # a group that is asked for half the bins' rows at most brings the next round to half the groups
         dealt = loose.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(buckets)))
-        packed = materialise(dealt.groupBy("bucket").applyInPandas(_pack_bucket(capacity, last, max(1, partition_pieces // 8)), _PACKED), "packing-round")
+        packed = materialise(dealt.groupBy("bucket").applyInPandas(_pack_bucket(capacity, last, max(1, partition_pieces // 8), best_function(count, capacity)), _PACKED), "packing-round")
         kept = packed.where("settled")
-        done = done.unionAll(kept.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr(f"shiftleft({k}L, 56) + shiftleft(bucket, 28) + bin").alias("sequence_id"), "offset"))
+        done = done.unionAll(kept.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr(f"shiftleft({k}L, 56) + shiftleft(bucket, 28) + bin").alias("sequence_id"), "offset", F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound")))
         loose = packed.where("not settled").select("doc_id", "piece", "start", "length", "ids_crc32")
         if last:
             break

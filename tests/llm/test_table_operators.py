@@ -139,7 +139,34 @@ def test_packing_round_trip(spark, sf_dir):
     whole = int(packing.best_fit_decreasing(lengths)[0].max()) + 1
     # small partitions come close to packing all at once
     assert packing.lower_bound(lengths) <= len(bins) <= 1.02 * whole + 1
-    assert packing.best_fit_packing(docs.limit(0), BYTE).count() == 0
+    assert all(r.partition_bound <= r.partition_bins for r in rows)
+    empty = packing.best_fit_packing(docs.limit(0), BYTE)
+    assert empty.count() == 0 and packing.certificate(empty) == (0, 0)
+    assert packing.certificate(spark.createDataFrame(rows)) == (len(bins), packing.lower_bound(lengths))
+
+
+def test_certified_partitions_stay():
+    import pandas as pd
+
+    def rows(lengths):
+        k = range(len(lengths))
+        return pd.DataFrame({"doc_id": k, "piece": 0, "start": 0, "length": lengths, "ids_crc32": 0, "bucket": 0})
+
+    def function(lengths):
+        return packing.best_function(np.bincount(lengths, minlength=1025))
+
+    lone = function([600] * 500)
+    certified = packing._pack_bucket(1024, False, 10, lone)(rows([600] * 50))
+    assert certified.settled.all() and set(certified.bins) == set(certified.bound) == {50}
+    # the same partition has room for the small pieces of others
+    assert not packing._pack_bucket(1024, False, 10, function([600] * 500 + [100] * 5000))(rows([600] * 50)).settled.all()
+    # thirds and halves: best fit needs a bin more than the bound, so loose bins go
+    lengths = [520, 350, 350, 350, 260, 260, 260, 180, 180, 180, 180] * 3
+    bins = packing.best_fit_decreasing(np.array(lengths))[0].max() + 1
+    gapped = packing._pack_bucket(1024, False, 10, function(lengths))(rows(lengths))
+    assert bins > packing.lower_bound(np.array(lengths)) and 0 < (~gapped.settled).sum() < len(lengths)
+    assert gapped.groupby("bin").settled.nunique().max() == 1
+    assert packing._pack_bucket(1024, True, 10, function(lengths))(rows(lengths)).settled.all()
 
 
 # ---- sorted-string tables ----

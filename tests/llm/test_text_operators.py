@@ -19,7 +19,7 @@ ODD = st.lists(st.sampled_from(list("aabcdeéßΣσİı 'sStTré0123½²漢字
 
 @pytest.fixture(scope="module")
 def coders():
-    return {p: (Tokenizer.from_file(p), words.WordCoder(p)) for p in (WORD, BYTE)} | {"bpe": bpe.WordBpe(WORD)}
+    return {p: (Tokenizer.from_file(p), words.Coder(p)) for p in (WORD, BYTE)} | {"bpe": bpe.WordBpe(WORD)}
 
 
 @settings(max_examples=150, deadline=None)
