@@ -45,7 +45,7 @@ STEPS = sorted(((r, j) for r, grid in RULES.items() for j in range(len(grid))),
 ALPHA = 0.03
 DELTA = 0.05
 _SCHEMA = (
-    "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "doc_id long, stratum string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     + ", ".join(f"{r} double" for r in RULES)
 )
 
@@ -85,9 +85,9 @@ def statistics(text: str | None) -> tuple:
 def _make():
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES]
 
-    def work(ids: list, texts: list, strata: list) -> dict:
+    def work(ids: list, texts: list, strata: list, keys: list) -> dict:
         rows = list(zip(*map(statistics, texts), strict=True)) or [()] * len(names)
-        return {"doc_id": ids, "stratum": strata} | dict(zip(names, rows, strict=True))
+        return {"doc_id": ids, "stratum": strata, "text_key": keys} | dict(zip(names, rows, strict=True))
 
     return work
 
@@ -158,7 +158,9 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     rejects them; only a row for each stratum reaches the choice, which runs on executors.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = materialise(features.where(~base_failed()).join(marks, "doc_id").select("stratum", (F.col("quality") == 1).alias("is_good"), *RULES), "quality-known")
+    # the bound takes independent trials: copies of a text are one, good only if all are
+    trials = features.where(~base_failed()).join(marks, "doc_id").groupBy("stratum", "text_key").agg((F.min("quality") == 1).alias("is_good"), *[F.first(r).alias(r) for r in RULES])
+    known = materialise(trials.drop("text_key"), "quality-known")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     bad = known.groupBy("stratum").agg(*[F.array(*[count(~F.col("is_good") & (F.col(rule) > c)) for c in grid]).alias(f"b_{rule}") for rule, grid in RULES.items()])
 
@@ -206,7 +208,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for a certificate: the method rejects nothing. Other columns are not read.
     """
     stratum = F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")) if stratum_col else F.lit("")
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), stratum.alias("stratum"))
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), stratum.alias("stratum")).withColumn("text_key", F.xxhash64("text"))
     features = materialise(map_rows(plain, _SCHEMA, _make), "quality-features")
     cuts = materialise(cutoffs(features, slim(labels, doc_id="doc_id", quality="quality"), alpha, delta), "quality-cutoffs").drop("good")
     fails = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
