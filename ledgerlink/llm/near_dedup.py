@@ -44,7 +44,7 @@ WORDS = 5
 BLOCK = 1_024
 BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a task remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: At most so many ids are broadcast to fetch the texts of compared classes; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 

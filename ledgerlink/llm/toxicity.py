@@ -32,7 +32,7 @@ LEAST_DOCS = 4
 NEIGHBOURS = 15
 BLOCK = 64
 #: Words whose terms a task remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (3, 4, 5, 6)
 _TERM = re.compile(r"\w+")
@@ -165,8 +165,8 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Index:
     """Index of a bounded sample of the labelled rows that are not held out.
 
-    The sample is the ``examples`` rows of each class with the smallest hash of their text's id, at all
-    sizes; class shares are counted over all labelled rows. What reaches the driver are term counts of
+    The sample is the ``examples`` ids of each class with the smallest hash, at all sizes; equal texts among
+    them are one example, toxic if one is, and an id with several texts stands for the least. Class shares are counted over all labelled rows. What reaches the driver are term counts of
     at most twice ``examples`` texts, restricted on the executors to terms of several sample texts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -178,7 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
         part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = part if chosen is None else chosen.unionAll(part)
     # bounded by twice ``examples`` ids, so the join broadcasts
-    texts = docs.join(F.broadcast(chosen), "doc_id")
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    # copies of a text are one example, so that no example is judged by its own copy
+    texts = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
 
     def make():
         def work(ids: list, texts: list, toxic: list) -> dict:
