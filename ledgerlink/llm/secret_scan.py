@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and strings that a primed zstandard compressor finds novel.
 
-A candidate is a run of token characters in a sensitive place (a keyword such as ``key``, ``pwd`` or
-``auth`` shortly before it). Its marginal size is what it adds to the compressed size of the text just
+A candidate is a run of token characters behind a word that holds a sensitive one (such as ``key``, ``pwd`` or
+``auth``). Its marginal size is what it adds to the compressed size of the text just
 before it, with a dictionary of common identifiers and that text already known. A name, a path or a
 word that occurs nearby costs few bytes; a random string costs its entropy. Candidates whose marginal
 bytes reach ``NOVEL`` of their length are reported as kind ``novel``.
@@ -25,8 +25,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Sensitive words; a candidate starts within REACH characters after one, on the same line.
-_SENSITIVE = re.compile(r"(?i:key|secret|token|passw|pwd|auth|credential|bearer|private|signature|session)[A-Za-z_]{0,16}[\x20\"':=(>,-]{1,8}([A-Za-z0-9+/_.=~-]{16,})", re.ASCII)
+#: A candidate stands behind a whole word that holds a sensitive one and behind any separators, on the same
+#: line. Words are tried at their start only, so a scan is linear however long they are.
+_PLACED = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)[\x20\"':=(>,-]++(?=[A-Za-z0-9+/_.=~-]{16})", re.ASCII)
+_RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
+_SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|bearer|private|signature|session", re.I)
 #: Marginal bytes per character above which a string counts as random: hex holds 0.5, base64 0.75.
 NOVEL = 0.5
 #: Characters of text before and after a candidate that prime the compressor with it.
@@ -68,8 +71,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def novel_spans(text: str, novelty: Novelty) -> list[tuple[str, int, int]]:
     found = []
-    for m in _SENSITIVE.finditer(text):
-        start, end = m.span(1)
+    at = 0
+    while m := _PLACED.search(text, at):
+        # behind another word, what stands there may itself be the word before a candidate
+        at = start = m.end()
+        if not _SENSITIVE.search(m[1]):
+            continue
+        at = end = _RUN.match(text, start).end()
         # a long candidate is judged in pieces, each against the text before it, so cost is linear
         step = 256
         costs = [novelty(text[max(0, a - CONTEXT) : a], text[a : min(end, a + step)], text[end : end + CONTEXT]) * (min(end, a + step) - a) for a in range(start, end, step)]

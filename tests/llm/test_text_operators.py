@@ -142,6 +142,25 @@ def test_novelty_tells_random_from_known():
     assert secret_scan.novel_spans("the key points are: readability_and_maintainability1", novelty) == []
 
 
+def test_candidates_stand_behind_long_words_and_many_separators():
+    novelty, rng = secret_scan.Novelty(), np.random.default_rng(8)
+    key = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"), 40))
+    for lead in ("secret_for_production_database_of_all_regions: ", "token            =            ", "my-key-is secret="):
+        assert secret_scan.novel_spans(lead + key + " end", novelty) == [("novel", len(lead), len(lead) + 40)]
+    assert secret_scan.novel_spans("nothing: " + key, novelty) == []
+    # a scan of long runs is linear
+    for text in ("key" * 40_000, "a-" * 60_000, "=" * 100_000):
+        assert secret_scan.novel_spans(text, novelty) == []
+
+
+def test_secret_scan_edges(spark):
+    rows = [(None, "password = abcdefgh1"), (1, None), (1, None), (2, ""), (3, "x " * 60_000 + "AKIA" + "A1" * 10)]
+    docs = spark.createDataFrame([(*r, "n", "m") for r in rows], "doc_id long, text string, spans string, N_ASSIGN string")
+    got = [(r.doc_id, r.n_assign, r.n_access, r.spans) for r in secret_scan.secret_scan(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 0, "assign:0:20"), (1, 0, 0, ""), (1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 1, "access:120000:120024")], key=str)
+    assert secret_scan.secret_scan(docs.limit(0)).count() == 0
+
+
 def test_novelty_decides_on_letters_alone_and_on_long_candidates():
     novelty = secret_scan.Novelty()
     rng = np.random.default_rng(5)
