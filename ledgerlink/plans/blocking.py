@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlink.runtime import materialise
+
 #: Blocks of fewer or more records give no pairs.
 LEAST_BLOCK, MOST_BLOCK = 2, 200
 FAMILIES = ("nameprefix", "acronym", "regid", "token", "postal")
@@ -20,9 +22,13 @@ def block_sizes(prepared: DataFrame) -> DataFrame:
 
 
 def usable_index(prepared: DataFrame) -> DataFrame:
-    """The index without singletons and oversize blocks. Counting and joining share one partitioning."""
-    fine = block_sizes(prepared).where(F.col("n").between(LEAST_BLOCK, MOST_BLOCK)).select("block_key")
-    return index_by_key(prepared).join(fine, "block_key", "left_semi")
+    """The index without singletons and oversize blocks, written: its users read it more than once.
+
+    Names are normalised once for counting, filtering and both sides of a self-join.
+    """
+    index = materialise(index_by_key(prepared), "blocking-index")
+    fine = index.groupBy("block_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(LEAST_BLOCK, MOST_BLOCK)).select("block_key")
+    return materialise(index.join(fine, "block_key", "left_semi"), "blocking-index")
 
 
 def candidate_pairs(prepared: DataFrame) -> DataFrame:

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from ledgerlink.functions import names as N
 from ledgerlink.functions.similarity import jaro_winkler
 from ledgerlink.operators.graph import connected_components
+from ledgerlink.plans.blocking import attach
+from ledgerlink.runtime import materialise
 
 #: Share of clusters held out, and what sets this split apart from others.
 HOLDOUT_SHARE = 0.20
 SALT = "ledgerlink/holdout/v1"
 BUILDER_VERSION = "1"
+#: Steps of similarity by which hard negatives are counted.
+STEPS = 10_000
 #: Pairs of each decision in the demonstration sample.
 DEMO_QUOTA = {"review": 150, "match": 40, "no_match": 40}
 
@@ -109,17 +113,22 @@ def quotas(positives: DataFrame, per_positive: float = 1.0) -> DataFrame:
     return positives.groupBy("side").agg(F.floor(F.count(F.lit(1)) * per_positive).alias("quota"))
 
 
-def hard_negatives(attached: DataFrame, sides: DataFrame, quota: DataFrame) -> DataFrame:
+def hard_negatives(candidates: DataFrame, prepared: DataFrame, sides: DataFrame, quota: DataFrame) -> DataFrame:
     """The most name-similar candidates between clusters on each side, as many as its quota.
 
-    ``attached`` are attached candidate pairs, ``sides`` has record_key, cluster and side. Ranking is
-    per side; Spark keeps only the quota's rows of each task before the shuffle where it can.
+    ``candidates`` has left_key and right_key, ``sides`` record_key, cluster and side. Slim keys are scored
+    once; counts by similarity, at most ``STEPS`` a side, tell where a side's quota ends, so only pairs
+    above that are ranked, each among those of its step. The caller attaches records to what it needs.
     """
     at = lambda s: sides.select(F.col("record_key").alias(f"{s}_key"), F.col("cluster").alias(f"{s}_cluster"), F.col("side").alias(f"{s}_side"))
-    fit = attached.join(at("left"), "left_key").join(at("right"), "right_key").where("left_cluster != right_cluster and left_side = right_side")
-    scored = fit.withColumn("similarity", jaro_winkler(F.col("l_name_norm"), F.col("r_name_norm"))).withColumnRenamed("left_side", "side")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("similarity"), "left_key", "right_key")))
-    return ranked.join(F.broadcast(quota), "side").where("rank <= quota")
+    named = attach(candidates.select("left_key", "right_key"), prepared.select("record_key", "name_norm"))
+    fit = named.join(at("left"), "left_key").join(at("right"), "right_key").where("left_cluster != right_cluster and left_side = right_side")
+    scored = materialise(fit.select("left_key", "right_key", F.col("left_side").alias("side"), jaro_winkler(F.col("l_name_norm"), F.col("r_name_norm")).alias("similarity")), "negatives-scored")
+    scored = scored.withColumn("step", F.floor((1 - F.col("similarity")) * STEPS))
+    sizes = scored.groupBy("side", "step").agg(F.count(F.lit(1)).alias("n"))
+    above = sizes.withColumn("above", F.sum("n").over(Window.partitionBy("side").orderBy("step")) - F.col("n")).join(quota, "side").where("above < quota").drop("n")
+    place = F.row_number().over(Window.partitionBy("side", "step").orderBy(F.desc("similarity"), "left_key", "right_key"))
+    return scored.join(above, ["side", "step"]).withColumn("rank", F.col("above") + place).where("rank <= quota").drop("step", "above")
 
 
 def assemble(positives: DataFrame, negatives: DataFrame, revision: str) -> DataFrame:

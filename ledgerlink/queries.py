@@ -325,15 +325,20 @@ def cluster_counts(spark: SparkSession, d: str) -> DataFrame:
     return corpus.cluster_counts(corpus.clusters(_split_input(spark, d)))
 
 
-def _negatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _negatives(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positives, ranked negatives, and the records to attach."""
     pairs, base = _labelled_keys(spark, d)
     pos = pairs.where("label = 'match'")
     nodes = corpus.clusters(pairs.toDF("left_id", "right_id", "label"))
     sides = nodes.select(F.col("node").alias("record_key"), "cluster", corpus.side(F.col("cluster")).alias("side"))
     placed = pos.join(sides, F.col("left_key") == F.col("record_key")).select("left_key", "right_key", "side")
-    full = frequency.with_frequencies(base)
-    attached = blocking.attach(blocking.candidate_pairs(base), full)
-    return blocking.attach(pos.select("left_key", "right_key"), full), corpus.hard_negatives(attached, sides, corpus.quotas(placed))
+    ranked = corpus.hard_negatives(blocking.candidate_pairs(base), base, sides, corpus.quotas(placed))
+    return pos.select("left_key", "right_key"), ranked, frequency.with_frequencies(base)
+
+
+def _assembled(spark: SparkSession, d: str) -> DataFrame:
+    pos, ranked, full = _negatives(spark, d)
+    return corpus.assemble(blocking.attach(pos, full), blocking.attach(ranked, full), revision="fixture")
 
 
 _HARD = _ROOTS + ", placed as (select " + _SIDE.format(c="cluster") + " as side, count(*) as quota from pos join roots on roots.node = pos.left_key group by 1), elig as (select c.left_key, c.right_key, " + _SIDE.format(c="a.cluster") + " as side, " + _SIDE.format(c="b.cluster") + " as rside, jaro_winkler_similarity(l.name_norm, r.name_norm) as similarity from cand c join roots a on a.node = c.left_key join roots b on b.node = c.right_key join norm l on l.record_key = c.left_key join norm r on r.record_key = c.right_key where a.cluster <> b.cluster), hard as (select * from (select elig.*, quota, row_number() over (partition by side order by similarity desc, left_key, right_key) as rank from elig join placed using (side) where side = rside) where rank <= quota)"
@@ -346,12 +351,12 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with " + _HARD + ", u as (select left_key, right_key, 'match' as label from pos union all select left_key, right_key, 'no_match' from hard) select left(sha256(least(left_key, right_key)||'|'||greatest(left_key, right_key)||'|'||label), 16) as pair_id, left_key, right_key, label from u")
 def corpus_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.assemble(*_negatives(spark, d), revision="fixture").select("pair_id", "left_key", "right_key", "label")
+    return _assembled(spark, d).select("pair_id", "left_key", "right_key", "label")
 
 
 @query("with " + _HARD + ", u as (select left_key, right_key, 'match' as label from pos union all select left_key, right_key, 'no_match' from hard), ids as (select left_key as k from u union select right_key from u) select count(*) as pairs, count(*) filter (label = 'match') as positives, count(*) filter (label = 'no_match') as negatives, (select count(*) from ids) as distinct_records from u")
 def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.corpus_counts(corpus.assemble(*_negatives(spark, d), revision="fixture"))
+    return corpus.corpus_counts(_assembled(spark, d))
 
 
 _VAR = _LAB + """, v as (select pos.left_key, pos.right_key, list_filter([case when l.name_norm <> r.name_norm and l.core = r.core then 'legal_form_variance' end,

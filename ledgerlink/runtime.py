@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,14 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder is created and used as the
-    checkpoint folder of the session; one process owns all data there, so a local path is right.
+    Where the setting is absent and the master is local (tests) a temporary folder is created and used as
+    the checkpoint folder of the session; one process owns all data there, so a local path is right. On a
+    cluster it has to be set: executors do not see the driver's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerlink-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
