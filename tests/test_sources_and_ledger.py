@@ -64,6 +64,39 @@ def test_ledger_chain(spark, tmp_path):
     assert L.violations(book.events()).count() == 0
     assert [r.entry_id for r in L.history(book.events()).collect()] == [3, 2, 1]
     assert L.health(book.events(), book.events().limit(0)).first().active_merges == 1
+    with pytest.raises(L.RefusedError, match="no event"):
+        book.submit("delete", idempotency_key="d")
+    with pytest.raises(L.RefusedError, match="lacks"):
+        book.merge(("s", "A"), ("s", None), [], idempotency_key="gap", resolved_id="e", approver_id="me")
+
+
+def test_lookups_and_snapshots(spark, tmp_path):
+    book = L.Ledger(spark, str(tmp_path / "log"))
+    merge(book, "k1", "A", "B", "e1")
+    two = merge(book, "k2", "B", "C", "e2")
+    assert json.loads(two["displaced_links_json"]) == [{"source": "s", "source_id": "B", "resolved_id": "e1", "linked_by_entry_id": 1}]
+    events = book.events()
+    assert [r.resolved_id for r in L.resolved_id_for(events, "s", "B").collect()] == ["e2"]
+    assert L.resolved_id_for(events, "s", "Z").count() == 0
+    assert [r.source_id for r in L.links_for(events, "e2").collect()] == ["B", "C"]
+    assert L.entry(events, 2).first().idempotency_key == "k2" and L.entry_by_key(events, "k1").first().entry_id == 1
+    pair = {"pair_id": "0123456789abcdef", "left_source": "s", "left_id": "D", "right_source": "s", "right_id": "E", "decision": "review", "score": 0.7}
+    done = book.approve(pair)
+    assert done["resolved_id"] == "cp-0123456789ab" and book.approve(pair)["entry_id"] == done["entry_id"] == 3
+    undone = book.undo(3)
+    assert (undone["left_id"], undone["right_id"], undone["resolved_id"], undone["displaced_links_json"]) == ("D", "E", done["resolved_id"], None)
+    resolved = spark.createDataFrame([("p1", "D", "E", "review", 0.7), ("p2", "A", "B", "review", 0.9), ("p3", "F", "G", "match", 0.9)], "pair_id string, left_id string, right_id string, decision string, score double")
+    assert [r.pair_id for r in L.review_queue(resolved, book.events()).collect()] == ["p1"]
+    assert L.pair_detail(resolved, "p3")["left_id"] == "F"
+    with pytest.raises(LookupError):
+        L.pair_detail(resolved, "p9")
+
+
+def test_violations_name_broken_rules(spark):
+    row = lambda n, key, action="merge", back=None, right="b": (n, key, action, "s", "a", "s", right, "e", back, "match", 0.5, "[]", "me", "t", None)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in L.SCHEMA)
+    bad = spark.createDataFrame([row(1, "k1"), row(1, "k2"), row(2, "k1"), row(3, "k3", "erase"), row(4, "k4", "unmerge", 99), row(5, "k5", right=None)], schema)
+    assert {r.rule: r.entries for r in L.violations(bad).collect()} == {"primary key": 1, "unique key": 1, "action": 1, "not null": 1, "reversed entry": 1}
 
 
 def test_links_match_a_replay(spark):
