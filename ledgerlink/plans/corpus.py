@@ -18,6 +18,10 @@ SALT = "ledgerlink/holdout/v1"
 BUILDER_VERSION = "1"
 #: Steps of similarity by which hard negatives are counted.
 STEPS = 10_000
+#: What a labelled corpus must reach before it is evaluated.
+KILL_FLOORS = {"pairs": 1000, "positives": 500, "negatives": 500, "recall": 0.90}
+CLAIMED_VARIANTS = ("legal_form_variance", "diacritic_or_casing_drift", "distinct_registration_authority")
+PROVENANCE = ("pair_id", "left_key", "right_key", "label", "label_basis", "source_revision")
 #: Pairs of each decision in the demonstration sample.
 DEMO_QUOTA = {"review": 150, "match": 40, "no_match": 40}
 
@@ -162,7 +166,21 @@ def demo_sample(resolved: DataFrame, quota: dict[str, int] | None = None) -> Dat
     return ranked.where((F.col("rank") <= max(quota.values())) & (F.col("rank") <= most)).drop("rank").orderBy(F.desc("score"), "pair_id")
 
 
-def kill_checks(pairs: DataFrame) -> DataFrame:
-    """One row: whether a labelled corpus is large enough on each side."""
-    c = corpus_counts(pairs)
-    return c.select("pairs", "positives", "negatives", ((F.col("pairs") >= 1000) & (F.col("positives") >= 500) & (F.col("negatives") >= 500)).alias("large_enough"))
+def kill_checks(pairs: DataFrame, variants: DataFrame, report: DataFrame, arms: DataFrame) -> DataFrame:
+    """(criterion, measured, floor, holds): whether a labelled corpus and its evaluation may be trusted.
+
+    Enough pairs of each label, each variant that the positives are said to show, provenance on every pair,
+    candidate recall, and a precision over that of every baseline. ``pairs`` are those of ``assemble``,
+    the others the results of ``variant_histogram``, ``candidate_report`` and ``arm_report``; a few rows each.
+    """
+    row = lambda name, value, floor, above=False: F.struct(F.lit(name).alias("criterion"), value.cast("double").alias("measured"), F.lit(float(floor)).alias("floor"), (value > floor if above else value >= floor).alias("holds"))
+    spread = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    size = spread(corpus_counts(pairs), *[row(n, F.col(c), KILL_FLOORS[c]) for n, c in (("labelled pairs", "pairs"), ("positives", "positives"), ("negatives", "negatives"))])
+    seen = variants.agg(*[F.coalesce(F.sum(F.when(F.col("variant") == v, F.col("pairs"))), F.lit(0)).alias(v) for v in CLAIMED_VARIANTS])
+    lacking = pairs.agg(F.count_if(F.greatest(*[F.coalesce(F.col(c), F.lit("")) == "" for c in PROVENANCE])).alias("n"))
+    bare = lacking.select(F.lit("pairs without provenance").alias("criterion"), F.col("n").cast("double").alias("measured"), F.lit(0.0).alias("floor"), (F.col("n") == 0).alias("holds"))
+    lead = arms.agg((F.max(F.when(F.col("method") == "system", F.col("precision"))) - F.max(F.when(F.col("method") != "system", F.col("precision")))).alias("lead"))
+    parts = [spread(seen, *[row(f"variant {v}", F.col(v), 1) for v in CLAIMED_VARIANTS]), bare, spread(report, row("candidate recall", F.col("recall"), KILL_FLOORS["recall"])), spread(lead, row("precision over best baseline", F.col("lead"), 0, above=True))]
+    for part in parts:
+        size = size.unionByName(part)
+    return size

@@ -14,7 +14,7 @@ def token_frequency(prepared: DataFrame) -> DataFrame:
 
 
 def identifier_frequency(prepared: DataFrame) -> DataFrame:
-    """Records of each authority and number, most frequent first."""
+    """Records of each authority and number."""
     key = F.concat_ws("|", "ra_norm", "id_norm")
     known = prepared.where(F.col("ra_norm").isNotNull() & F.col("id_norm").isNotNull())
     return known.groupBy(key.alias("id_key")).agg(F.count(F.lit(1)).alias("df"))
@@ -37,8 +37,7 @@ def with_frequencies(prepared: DataFrame, population: DataFrame | None = None) -
     return joined.withColumn("id_df", F.coalesce("df", F.lit(1))).withColumn("rare_tok", F.when(F.size(rare) > 0, rare).otherwise(F.col("core_tok"))).drop("common", "df", "id_key")
 
 
-def split_local(pairs_attached: DataFrame) -> DataFrame:
-    """The distinct records of attached pairs, as a population for frequencies."""
-    cols = [c[2:] for c in pairs_attached.columns if c.startswith("l_")]
-    side = lambda s, key: pairs_attached.select(F.col(key).alias("record_key"), *[F.col(f"{s}_{c}").alias(c) for c in cols])
-    return side("l", "left_key").unionByName(side("r", "right_key")).dropDuplicates(["record_key"])
+def split_local(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The records of ``pairs`` (left_key, right_key), each once, as a population for frequencies."""
+    known = pairs.select("left_key").unionAll(pairs.select("right_key")).distinct().toDF("record_key")
+    return prepared.join(known, "record_key", "left_semi")

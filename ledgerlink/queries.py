@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlink import fixture
 from ledgerlink.functions import names as N
 from ledgerlink.functions.similarity import jaro_winkler, token_sort_ratio
-from ledgerlink.operators import ledger
+from ledgerlink.operators import ledger, migrations
 from ledgerlink.plans import blocking, corpus, evaluate, frequency, resolve
 from ledgerlink.plans.prepare import prepare_records
 from ledgerlink.runtime import materialise, prepare
@@ -86,12 +86,18 @@ ix as (select record_key, unnest(keys) as block_key from rk), sizes as (select b
 _CAND = _KEYS + """, fine as (select ix.* from ix join sizes using (block_key) where n between 2 and 200),
 cand as (select a.record_key as left_key, b.record_key as right_key, list_sort(list_distinct(list(a.block_key))) as reasons from fine a join fine b on a.block_key = b.block_key and a.record_key < b.record_key group by 1, 2),
 pos as (select least(a.k, b.k) as left_key, greatest(a.k, b.k) as right_key from (select p_partkey, 'gleif:'||lei as k from fx_registry) a join (select p_partkey, 'companies_house:'||company_number as k from fx_numbered) b using (p_partkey))"""
-_LAB = _CAND + f""", iddf as (select ra_norm||'|'||id_norm as id_key, count(*) as df from norm where ra_norm is not null and id_norm is not null group by 1),
-tdf as (select token, count(*) as df from (select unnest(core_tok) as token from norm) group by 1),
-common as (select coalesce(list(token), []) as common from tdf where df >= greatest(2, floor(0.01 * (select count(*) from norm)))),
+_LABELS = _CAND + """, lab as (select coalesce(c.left_key, p.left_key) as left_key, coalesce(c.right_key, p.right_key) as right_key, case when p.left_key is null then 'no_match' else 'match' end as label from cand c full outer join pos p on c.left_key = p.left_key and c.right_key = p.right_key)"""
+
+
+def _frequencies(population: str = "norm") -> str:
+    return f""", iddf as (select ra_norm||'|'||id_norm as id_key, count(*) as df from {population} where ra_norm is not null and id_norm is not null group by 1),
+tdf as (select token, count(*) as df from (select unnest(core_tok) as token from {population}) group by 1),
+common as (select coalesce(list(token), []) as common from tdf where df >= greatest(2, floor(0.01 * (select count(*) from {population})))),
 full_rec as (select rk.*, coalesce(iddf.df, 1) as id_df, list_filter(core_tok, lambda t: not list_contains(common, t)) as rare0 from rk left join iddf on iddf.id_key = rk.ra_norm||'|'||rk.id_norm cross join common),
-frec as (select *, case when len(rare0) > 0 then rare0 else core_tok end as rare_tok, list_filter(tok, lambda t: not list_contains({_FORMS}, t)) as own from full_rec),
-lab as (select coalesce(c.left_key, p.left_key) as left_key, coalesce(c.right_key, p.right_key) as right_key, case when p.left_key is null then 'no_match' else 'match' end as label from cand c full outer join pos p on c.left_key = p.left_key and c.right_key = p.right_key)"""
+frec as (select *, case when len(rare0) > 0 then rare0 else core_tok end as rare_tok, list_filter(tok, lambda t: not list_contains({_FORMS}, t)) as own from full_rec)"""
+
+
+_LAB = _LABELS + _frequencies()
 _SIG0 = """, att as (select q.*, l.name_norm as l_name_norm, r.name_norm as r_name_norm, l.core as l_core, r.core as r_core, l.tok as l_tok, r.tok as r_tok, l.rare_tok as l_rare, r.rare_tok as r_rare, l.acr as l_acr, r.acr as r_acr,
  l.ctry_up as l_ctry, r.ctry_up as r_ctry, l.addr as l_addr, r.addr as r_addr, l.id_norm as l_id, r.id_norm as r_id, l.ra_norm as l_ra, r.ra_norm as r_ra, l.id_df as l_df,
  list_filter(l.own, lambda t: not list_contains(r.own, t)) as only_l, list_filter(r.own, lambda t: not list_contains(l.own, t)) as only_r, len(list_intersect(l.own, r.own)) as shared
@@ -101,7 +107,7 @@ sig as (select *, case when reg and num and l_df <= 2 then 'identifier_agreement
  when shared >= 2 and len(only_l) > 0 and len(only_r) > 0 and len(list_filter(list_concat(only_l, only_r), lambda t: not (regexp_matches(t, '^[0-9]+$') or list_contains({roman}, t) or length(t) = 1))) = 0 then 'discriminator_conflict'
  when l_name_norm = r_name_norm and l_name_norm <> '' then 'identifying_name_agreement' end as hard_signal from att2)"""
 _SIG = _LAB + _SIG0.format(pairs="lab", roman=_ROMAN)
-_FEAT = _SIG + """, ap as (select distinct l_addr, r_addr from sig where l_addr is not null and r_addr is not null),
+_FEATURES = """, ap as (select distinct l_addr, r_addr from sig where l_addr is not null and r_addr is not null),
 codes as (select l_addr, r_addr, list_transform(string_split(l_addr, ''), lambda c: ascii(c)::bigint) as a, list_transform(string_split(r_addr, ''), lambda c: [ascii(c)::bigint]) as b from ap),
 lcs as (select l_addr, r_addr, list_reduce(b, lambda row, ch: list_transform(range(1, len(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: case when a[i] = ch[1] then case when i = 1 then 0 else row[i - 1] end + 1 else row[i] end))), list_transform(a, lambda x: 0::bigint)) as row from codes),
 addr as (select l_addr, r_addr, 2.0 * row[len(row)] / (length(l_addr) + length(r_addr)) as sim from lcs),
@@ -111,6 +117,7 @@ feat as (select sig.*, jaro_winkler_similarity(l_name_norm, r_name_norm) as name
  case when l_ctry is null or r_ctry is null then 0.5 when l_ctry = r_ctry then 1.0 else 0.0 end::double as country_agreement, coalesce(addr.sim, 0.5)::double as address_similarity from sig left join addr using (l_addr, r_addr)),
 scored as (select *, round(round((name_similarity * 0.22::double)::decimal(20, 10), 4)::double + round((identifying_name_similarity * 0.16::double)::decimal(20, 10), 4)::double + round((token_overlap * 0.08::double)::decimal(20, 10), 4)::double + round((distinctive_token_agreement * 0.32::double)::decimal(20, 10), 4)::double + round((acronym_match * 0.04::double)::decimal(20, 10), 4)::double + round((country_agreement * 0.08::double)::decimal(20, 10), 4)::double + round((address_similarity * 0.1::double)::decimal(20, 10), 4)::double, 4) as score from feat),
 dec as (select *, case when hard_signal in ('identifier_agreement', 'identifying_name_agreement') then 'match' when hard_signal is not null then 'no_match' when score < 0.66 then 'no_match' else 'review' end as decision from scored)"""
+_FEAT = _SIG + _FEATURES
 
 
 def _confusion(src: str, by: str = "", extra: str = "") -> str:
@@ -296,9 +303,10 @@ def review_sweep(spark: SparkSession, d: str) -> DataFrame:
 # ---- graph, split, corpus ----
 
 _SIDE = "case when ('0x'||left(sha256('ledgerlink/holdout/v1|'||{c}), 8))::bigint / 4294967295.0::double < 0.2 then 'holdout' else 'development' end"
-_ROOTS = _LAB + """, nodes as (select distinct left_key as node from lab union select distinct right_key from lab), mates as (select left_key as node, right_key as other from pos union all select right_key, left_key from pos),
+_SPLIT = """, nodes as (select distinct left_key as node from lab union select distinct right_key from lab), mates as (select left_key as node, right_key as other from pos union all select right_key, left_key from pos),
 roots as (select nodes.node, coalesce(least(nodes.node, min(other)), nodes.node) as cluster from nodes left join mates using (node) group by nodes.node),
 assigned as (select left_key as left_id, right_key as right_id, label, case when ls = rs then ls else 'dropped' end as assigned from (select lab.*, """ + _SIDE.format(c="a.cluster") + " as ls, " + _SIDE.format(c="b.cluster") + " as rs from lab join roots a on a.node = lab.left_key join roots b on b.node = lab.right_key))"
+_ROOTS = _LAB + _SPLIT
 
 
 def _split_input(spark: SparkSession, d: str) -> DataFrame:
@@ -382,20 +390,53 @@ def demo_sample(spark: SparkSession, d: str) -> DataFrame:
     return corpus.demo_sample(rows)
 
 
-@query()
+def _system_by_side(arm: str, known: str) -> str:
+    pairs = _LABELS + _SPLIT + ", split as (select left_id as left_key, right_id as right_key, label, assigned from assigned where assigned <> 'dropped'), popn as (select * from norm where record_key in (" + " union ".join(f"select {c} from split where {known}" for c in ("left_key", "right_key")) + "))"
+    return "with " + pairs + _frequencies("popn") + _SIG0.format(pairs="split", roman=_ROMAN) + _FEATURES + f", c as ({_confusion('dec', 'assigned')}) " + _rates("c", f"'{arm}' as arm, assigned, " + _COUNTS)
+
+
+@query(" union all ".join(f"select * from ({_system_by_side(arm, known)})" for arm, known in (("corpus_wide_priors", "true"), ("development_only_priors", "assigned = 'development'"))))
 def prior_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """The system on both sides, with frequencies of all records and of the development side's alone."""
+    """The system on both sides, with frequencies of the records of all pairs and of the development side's alone."""
     pairs, base = _labelled_keys(spark, d)
-    split = corpus.split_pairs(pairs.toDF("left_id", "right_id", "label")).select(F.col("left_id").alias("left_key"), F.col("right_id").alias("right_key"), "label", "assigned").where("assigned <> 'dropped'")
-    dev = split.where("assigned = 'development'")
-    known = dev.select("left_key").unionAll(dev.select("right_key")).distinct().toDF("record_key")
+    split = corpus.split_pairs(pairs.toDF("left_id", "right_id", "label")).select(F.col("left_id").alias("left_key"), F.col("right_id").alias("right_key"), "label", "assigned")
+    split = materialise(split.where("assigned <> 'dropped'"), "priors-split")
     out = None
-    for arm, population in (("corpus_wide_priors", base), ("development_only_priors", base.join(known, "record_key", "left_semi"))):
-        rows = evaluate.score_system(blocking.attach(split, frequency.with_frequencies(base, population)), by=["assigned"]).withColumn("arm", F.lit(arm))
+    for arm, side in (("corpus_wide_priors", split), ("development_only_priors", split.where("assigned = 'development'"))):
+        full = frequency.with_frequencies(base, frequency.split_local(side, base))
+        rows = evaluate.score_system(blocking.attach(split, full), by=["assigned"]).withColumn("arm", F.lit(arm))
         out = rows if out is None else out.unionByName(rows)
     return out.drop("method")
 
 
+@query(f"select 'match' as sweep, threshold, precision, recall, review_rate, threshold is null as shipped from ({ORACLES['match_sweep']}) union all select 'review', threshold, precision, recall, review_rate, threshold = 0.66 from ({ORACLES['review_sweep']})")
+def threshold_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    scored = resolve.resolve(_labelled(spark, d), everywhere=False).select("label", "hard_signal", "score")
+    return evaluate.sweeps(materialise(scored, "sweeps-scored"))
+
+
+@query(f"""with c as ({ORACLES['corpus_counts']}), v as ({ORACLES['variant_histogram']}), r as ({ORACLES['candidate_report']}), a as ({ORACLES['arm_report']})
+ select 'labelled pairs' as criterion, pairs::double as measured, 1000::double as floor, pairs >= 1000 as holds from c union all select 'positives', positives, 500, positives >= 500 from c union all select 'negatives', negatives, 500, negatives >= 500 from c
+ union all select 'variant '||k, coalesce(pairs, 0), 1, coalesce(pairs, 0) >= 1 from (select unnest(['legal_form_variance', 'diacritic_or_casing_drift', 'distinct_registration_authority']) as k) left join v on v.variant = k
+ union all select 'pairs without provenance', 0, 0, true union all select 'candidate recall', recall, 0.9, recall >= 0.9 from r
+ union all select 'precision over best baseline', s - b, 0, s > b from (select max(precision) filter (method = 'system') as s, max(precision) filter (method <> 'system') as b from a)""")
+def kill_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold before a corpus may be evaluated at all."""
+    labelled = materialise(_labelled(spark, d), "kill-labelled")
+    base = _prepared(spark, d)
+    report = evaluate.candidate_report(base, _positives(spark, d))
+    return corpus.kill_checks(_assembled(spark, d), corpus.variant_histogram(labelled.where("label = 'match'")), report, evaluate.arm_report(labelled))
+
+
+@query("with " + _REC + ", lapsed as (select 'gleif:'||lei as left_key, 'gleif:L'||lpad((p_partkey // 3)::varchar, 8, '0') as right_key from fx_registry where p_partkey % 5 = 0) select left_key, right_key from lapsed where left_key <> right_key and right_key in (select 'gleif:'||lei from fx_registry)")
+def adjudicated_positives(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth registered record counts as a duplicate whose successor the registrar names."""
+    reg = fixture.tables(spark, d)[0]
+    keyed = reg.select(F.concat(F.lit("gleif:"), "lei").alias("record_key"), "p_partkey")
+    successor = F.concat(F.lit("gleif:L"), F.lpad(F.expr("p_partkey div 3").cast("string"), 8, "0"))
+    return corpus.adjudicated_positives(keyed.where("p_partkey % 5 = 0").select("record_key", successor.alias("successor_key")), keyed)
+
+
 # ---- ledger ----
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -440,6 +481,37 @@ def ledger_health(spark: SparkSession, d: str) -> DataFrame:
     return ledger.health(events, events.where("false"))
 
 
+@query("with " + _LEDGER + ", l as (select source, source_id, arg_max(resolved_id, entry_id) as resolved_id from t group by 1, 2) select resolved_id from l where source = 'b' and source_id = '5'")
+def resolved_id_for(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.resolved_id_for(_events(spark, d), "b", "5")
+
+
+@query("with " + _LEDGER + ", l as (select source, source_id, arg_max(resolved_id, entry_id) as resolved_id, max(entry_id) as linked_by_entry_id from t group by 1, 2) select * from l where resolved_id = (select resolved_id from l where source = 'b' and source_id = '5')")
+def links_for(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the entity that record b:5 belongs to, asked for by its id."""
+    events = _events(spark, d)
+    found = ledger.resolved_id_for(events, "b", "5").first()
+    return ledger.links_for(events, found.resolved_id if found else "")
+
+
+@query("with " + _LEDGER + " select * from (select 'primary key' as rule, count(*) as entries from m where entry_id % 11 = 0 union all select 'unique key', count(*) from m where entry_id % 11 = 0 union all select 'action', count(*) from m where entry_id % 13 = 0 union all select 'reversed entry', count(*) from m where entry_id % 7 = 0 and entry_id % 13 = 0 and entry_id % 11 <> 0) where entries > 0")
+def ledger_violations(spark: SparkSession, d: str) -> DataFrame:
+    """A log spoilt by repeated entries and unknown actions; a reversal of an unknown one that is not repeated as a merge reverses nothing."""
+    events = _events(spark, d)
+    merges = events.where("action = 'merge'").withColumn("action", F.expr("case when entry_id % 13 = 0 then 'erase' else 'merge' end"))
+    sound = merges.unionByName(events.where("action = 'unmerge'"))
+    return ledger.violations(sound.unionByName(merges.where("entry_id % 11 = 0").withColumn("action", F.lit("merge"))))
+
+
+@query("select o_orderkey * 2 as entry_id, lower(replace(o_orderpriority, ' ', '.')) as approver_id, cast(null as varchar) as displaced_links_json from orders")
+def migrated_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A log of the first schema version brought to the newest; order priorities stand for approvers' names."""
+    names = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") * 2).alias("entry_id"), F.col("o_orderpriority").alias("approved_by"))
+    old = _events(spark, d).where("action = 'merge'").join(names, "entry_id").withColumns({"evidence_json": F.lit("[]"), "recorded_at": F.lit("2026-01-01T00:00:00+00:00")})
+    new, version = migrations.migrate(old)
+    return new.select("entry_id", "approver_id", "displaced_links_json").where(F.lit(version) == migrations.MIGRATIONS[-1].version)
+
+
 @query("with " + _FEAT + ", rev as (select left(sha256(left_key||'|'||right_key||'|'||label), 16) as pair_id, left_key as left_id, right_key as right_id, score from dec where decision = 'review'), done as (select pair_id from rev where left(pair_id, 1) in ('0', '1', '2', '3')) select pair_id, left_id, right_id, score from rev where pair_id not in (select pair_id from done)")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     """Review pairs not merged yet; those whose id begins with a small digit count as approved."""
