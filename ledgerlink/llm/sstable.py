@@ -93,6 +93,11 @@ class TableWriter:
     def size(self) -> int:
         return self._at + len(self._block)
 
+    @property
+    def bounds(self) -> tuple[bytes, bytes]:
+        """The first and the last key written."""
+        return self._hashes[0], self._hashes[-1]
+
     def _begin(self) -> None:
         self._block, self._restarts, self._count, self._last = bytearray(), [], 0, b""
 
@@ -138,27 +143,37 @@ class TableWriter:
 
 
 class TableReader:
-    """Lookup and scan over a file's bytes."""
+    """Lookup and scan over a file's bytes, or over a file of which only what is needed is read.
+
+    ``source`` is bytes, or an open random-access file: its footer, index and filter are read at once, a
+    block when an entry of it is asked for.
+    """
 
-    def __init__(self, data: bytes | memoryview) -> None:
-        self._data = memoryview(data)
-        index_at, blocks, self._bloom_at, self._bits, self.entries, self.ids, self.width, magic = _FOOTER.unpack(self._data[-_FOOTER.size :])
+    def __init__(self, source: bytes | memoryview | pa.NativeFile) -> None:
+        if isinstance(source, pa.NativeFile):
+            size, self._read = source.size(), lambda at, n: memoryview(source.read_at(n, at))
+        else:
+            whole = memoryview(source)
+            size, self._read = len(whole), lambda at, n: whole[at : at + n]
+        index_at, blocks, bloom_at, self._bits, self.entries, self.ids, self.width, magic = _FOOTER.unpack(self._read(size - _FOOTER.size, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a table file")
+        tail = self._read(index_at, size - _FOOTER.size - index_at)
+        self._bloom = tail[bloom_at - index_at :]
         self._blocks: list[tuple[int, int]] = []
         self._keys: list[bytes] = []
-        at = index_at
+        at = 0
         for _ in range(blocks):
-            n, at = _read_varint(self._data, at)
-            self._keys.append(bytes(self._data[at : at + n]))
-            place, at = _read_varint(self._data, at + n)
-            size, at = _read_varint(self._data, at)
+            n, at = _read_varint(tail, at)
+            self._keys.append(bytes(tail[at : at + n]))
+            place, at = _read_varint(tail, at + n)
+            size, at = _read_varint(tail, at)
             self._blocks.append((place, size))
 
     def _block(self, k: int) -> tuple[memoryview, tuple[int, ...]]:
-        place, size = self._blocks[k]
-        body = self._data[place : place + size - 4]
-        if zlib.crc32(body) != struct.unpack("<I", self._data[place + size - 4 : place + size])[0]:
+        data = self._read(*self._blocks[k])
+        body = data[:-4]
+        if zlib.crc32(body) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError(f"block {k} is damaged")
         n = struct.unpack("<I", body[-4:])[0]
         return body[: -4 * (n + 1)], struct.unpack(f"<{n}I", body[-4 * (n + 1) : -4])
@@ -175,7 +190,7 @@ class TableReader:
             at += rest + size
 
     def _may_hold(self, key: bytes) -> bool:
-        return all(self._data[self._bloom_at + (p >> 3)] >> (p & 7) & 1 for p in _bloom_places(key, self._bits))
+        return all(self._bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, self._bits))
 
     def get(self, key: bytes) -> bytes | None:
         if not self._may_hold(key):
@@ -212,7 +227,7 @@ def _ranges(docs: DataFrame) -> list[int]:
 def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, width: int | None = None) -> DataFrame:
     """Encode (doc_id, text) and write table files below ``folder``, a URI that all executors share.
 
-    Returns the manifest: part, number, path, entries, ids. Files are named by range and number and
+    Returns the manifest: part, number, path, entries, ids, first_key, last_key. Files are named by range and number and
     renamed into place when whole, so a task that runs again replaces its own files by the same.
     """
     width = width or (2 if max(coder(vocabulary).size, end_id + 1) <= 1 << 16 else 4)
@@ -233,7 +248,7 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
     part = F.coalesce(F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
     dealt = coded.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, F.col("part"))
     ordered = dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _files(folder)
@@ -246,7 +261,7 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
             sink.close()
             final = f"{root}/part-{part:06d}-{number:06d}.sst"
             fs.move(draft, final)
-            return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": f"{folder}/{final.rsplit('/', 1)[1]}", "entries": table.entries, "ids": table.ids}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": f"{folder}/{final.rsplit('/', 1)[1]}", "entries": table.entries, "ids": table.ids, "first_key": table.bounds[0], "last_key": table.bounds[1]}], schema=schema)
 
         last = object()
         copy = 0
@@ -268,7 +283,7 @@ def write_tables(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
         if open_:
             yield close()
 
-    return materialise(ordered.mapInArrow(write, "part int, number int, path string, entries long, ids long"), "sst-manifest")
+    return materialise(ordered.mapInArrow(write, "part int, number int, path string, entries long, ids long, first_key binary, last_key binary"), "sst-manifest")
 
 
 def read_tables(manifest: DataFrame) -> DataFrame:
@@ -303,15 +318,22 @@ def read_tables(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """Ids of the asked documents (their first row), by binary search in the files that may hold them."""
+    """Ids of the asked documents (their first row).
+
+    Only files whose keys may span an asked one are opened, and of those the footer, index and filter are
+    read, and a block where the filter lets a key through.
+    """
+    keys = F.array(*[F.lit(encode_key(d, 0)) for d in doc_ids]).cast("array<binary>")
+    files = manifest.where(F.exists(keys, lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key"))))
     out: dict[int, np.ndarray] = {}
-    for row in manifest.select("path").toLocalIterator():
+    for row in files.select("path", "first_key", "last_key").toLocalIterator():
         fs, place = _files(row.path)
         with fs.open_input_file(place) as f:
-            table = TableReader(f.read())
-        for d in doc_ids:
-            if d not in out and (value := table.get(encode_key(d, 0))) is not None:
-                out[d] = np.frombuffer(value, f"<u{table.width}").astype(np.uint32)
+            table = TableReader(f)
+            for d in doc_ids:
+                key = encode_key(d, 0)
+                if bytes(row.first_key) <= key <= bytes(row.last_key) and (value := table.get(key)) is not None:
+                    out[d] = np.frombuffer(value, f"<u{table.width}").astype(np.uint32)
     return out
 
 
