@@ -6,7 +6,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlink.llm import ann, near_dedup, packing, pii, sstable, warc
@@ -218,14 +220,58 @@ def test_tables_round_trip(spark, sf_dir, monkeypatch):
         at += r.n_tokens
     assert len(got) == docs.count() and got[0].doc_id is None and got[1].doc_id == -7
     assert [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
-    assert sstable.lookup(manifest, [5, 10**9])[5][-1] == 1
+    known = [d.doc_id for d in docs.where("doc_id % 40 = 0").collect()]
+    found = sstable.lookup(manifest, [*known, -7, 10**9])
+    assert sorted(found) == sorted([*known, -7]) and all((len(v), zlib.crc32(v.astype("<u4").tobytes())) in want[k] for k, v in found.items())
+    keys = [(bytes(r.first_key), bytes(r.last_key)) for r in manifest.orderBy("part", "number").collect()]
+    assert all(a <= b for a, b in keys) and all(x[1] < y[0] for x, y in zip(keys, keys[1:], strict=False))
     assert sstable.token_tables(docs.limit(0), WORD).count() == 0
     assert coder(WORD) is coder(WORD)
 
 
+def test_lookup_reads_what_it_needs(tmp_path):
+    sink = Sink()
+    writer = sstable.TableWriter(sink, 2)
+    value = np.arange(2000, dtype="<u2").tobytes()
+    for k in range(2000):
+        writer.add(sstable.encode_key(k, 0), value)
+    writer.finish()
+    (tmp_path / "t.sst").write_bytes(bytes(sink.data))
+    with pa.OSFile(str(tmp_path / "t.sst")) as f:
+        reader = sstable.TableReader(f)
+        plain, taken = reader._read, []
+        reader._read = lambda at, n: taken.append(n) or plain(at, n)
+        assert reader.get(sstable.encode_key(777, 0)) == value and reader.get(sstable.encode_key(5000, 0)) is None
+        assert len(taken) == 1 and taken[0] < 2 * sstable.BLOCK_BYTES
+
+
+def test_tables_of_odd_rows(spark):
+    rows = [(1, "long " * 60_000, "a"), (2, None, "b"), (2, None, "b"), (3, "", "c"), (None, "x", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("part", F.lit(9)).withColumn("start", F.lit("s"))
+    got = sorted(sstable.token_tables(docs, WORD).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 1, 2, 2, 3] and [r.n_tokens for r in got[2:]] == [1, 1, 1]
+    assert got[1].n_tokens == len(Tokenizer.from_file(WORD).encode(rows[0][1], add_special_tokens=False).ids) + 1
+
+
 # ---- archives ----
 
 
+def test_records_have_ids_of_their_own(spark):
+    page = "y" * 150
+    rows = [(1, "u", page), (1, "u", page), (2, "v", page), (None, "w", "z"), (None, "w", "z"), (7, "x", "q" * 2_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("d")).withColumn("refers_to", F.lit(5))
+    manifest = warc.write_archives(pages.selectExpr("page_id", "url", "encode(html, 'UTF-8') as payload"), warc.scratch(spark, "w"))
+    full = warc.read_archives(manifest, payloads=True).collect()
+    assert len(full) == 6 and len({r.record_id for r in full}) == 6 and all(r.record_id.startswith("<urn:uuid:") for r in full)
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in full)[2:] == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (7, "response", None)]
+    assert sorted(r.payload_bytes for r in warc.archive_round_trip(pages).collect()) == [1, 1, 150, 150, 150, 2_000_000]
+    archive = "0" * 32
+    head = warc.info(archive)
+    assert b"WARC-Type: warcinfo" in head and warc.parse(head) is None
+    again = warc.record(warc.record_id(archive, 1), 2, "v", None, 150, "d" * 64, 1, "u").decode()
+    assert "WARC-Refers-To-Target-URI: u\r\n" in again and again.startswith("WARC/1.1\r\n")
+
+
 def test_archives(spark):
     big = "<p>" + "x" * 200
     rows = [(5, "http://a", big), (2, "http://b\r\nX: y", big), (9, None, big), (1, "http://c", "short"), (3, "u", "short"), (4, "u", None), (6, "u", ""), (None, "u", big), (7, "u", "é" * 60), (8, "u", "é" * 60)]
