@@ -85,6 +85,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_minhash_dedup": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as sh from w),
+        n as (select doc_id, len(sh)::bigint as n_shingles from s), e as (select doc_id, unnest(sh) as x from s),
+        hits as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from hits join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n_shingles + nb.n_shingles - c)),
+        edges as (select a, b from links union all select b, a from links),
+        reach as (select doc_id as a, doc_id as b from n union select reach.a, edges.b from reach join edges on reach.b = edges.a)
+        select n.doc_id, any_value(n_shingles) as n_shingles, min(b) as component_id, n.doc_id = min(b) as kept from n join reach on reach.a = n.doc_id group by n.doc_id""",
     "op8_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as b from pages),
         d as (select page_id, octet_length(b)::bigint as payload_bytes, sha256(b) as payload_digest from p),
