@@ -122,3 +122,23 @@ def test_evidence_and_similarity_of_every_pair(spark, sf_dir):
     assert all(r.contributions for r in told)
     alike = queries.token_sort_names(spark, sf_dir).collect()
     assert len(alike) == len(decided) and {(r.left_key, r.right_key) for r in alike} == set(decided)
+
+
+def test_frequencies_of_some_pairs(spark):
+    from ledgerlink.plans import frequency
+
+    records = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "record_key string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "z")], "left_key string, right_key string")
+    assert sorted(r.record_key for r in frequency.split_local(pairs, records).collect()) == ["a", "b"]
+
+
+def test_kill_checks(spark):
+    from ledgerlink.plans import corpus
+
+    pairs = spark.createDataFrame([("p1", "a", "b", "match", "why", "r1"), ("p2", "a", "c", "no_match", "", "r1")], "pair_id string, left_key string, right_key string, label string, label_basis string, source_revision string")
+    variants = spark.createDataFrame([("legal_form_variance", 3)], "variant string, pairs long")
+    report = spark.createDataFrame([(0.9,)], "recall double")
+    arms = spark.createDataFrame([("system", 0.99), ("exact", 0.97), ("fuzzy", 0.5)], "method string, precision double")
+    got = {r.criterion: r for r in corpus.kill_checks(pairs, variants, report, arms).collect()}
+    assert len(got) == 9 and sorted(k for k, r in got.items() if r.holds) == ["candidate recall", "precision over best baseline", "variant legal_form_variance"]
+    assert (got["labelled pairs"].measured, got["pairs without provenance"].measured) == (2, 1)
