@@ -4,8 +4,8 @@ Fit: a bounded sample of labelled rows (``EXAMPLES`` of each class by hash) give
 presence differs between the classes (chi-square), their document frequencies, the examples' TF-IDF
 vectors and an inverted index of them in blocks with the largest weight of each term in each block.
 A text's similarity to all examples of a block is at most the sum of its weights times these, so blocks
-are visited by falling bound until no block can hold a nearer example than the ``NEIGHBOURS`` found: the
-search is exact. Neighbours vote with weights that fall with distance, scaled to the classes' shares
+are visited by falling bound, some at a time, until no block can hold a nearer example than the
+``NEIGHBOURS`` found: the search is exact. Neighbours vote with weights that fall with distance, scaled to the classes' shares
 among all labelled rows; an isotonic map fitted on the examples themselves (each without its own vote)
 turns votes into calibrated scores. The nearest examples are the evidence.
 """
@@ -31,11 +31,18 @@ LEAST_CHI = 15.0
 LEAST_DOCS = 4
 NEIGHBOURS = 15
 BLOCK = 64
+#: Rows of the index (a term's weights in a block) that a search takes at a time; one block at least.
+ROWS = 512
 #: Words whose terms a task remembers at most.
 REMEMBERED = 150_000
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (3, 4, 5, 6)
 _TERM = re.compile(r"\w+")
+#: Blanks for the ASCII characters that no word has; other bytes stay.
+_BLANKS = bytes(b if b > 127 or _TERM.match(chr(b)) else 32 for b in range(256))
+_ASCII = bytes(range(128))
+#: Other characters that no word has.
+_BEYOND = re.compile(r"[^\w\x00-\x7f]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,6 +62,17 @@ def terms(text: str | None) -> Counter:
     return out
 
 
+def words(text: str | None) -> list[bytes]:
+    """The words that ``_TERM`` finds in a lower-cased text, in UTF-8."""
+    low = (text or "").lower()
+    coded = low.encode("utf-8", "surrogatepass")
+    if not low.isascii():
+        beyond = coded.translate(None, _ASCII).decode("utf-8", "surrogatepass")
+        if not beyond.isalnum():
+            coded = _BEYOND.sub(" ", low).encode("utf-8", "surrogatepass")
+    return coded.translate(_BLANKS).split()
+
+
 def _of_word(word: str) -> list[str]:
     return [word, *["^" + word[:k] for k in BEGINNINGS if len(word) > k]]
 
@@ -65,6 +83,8 @@ class Index:
     def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors: list[dict[int, float]], toxic: np.ndarray, ids: list[int], shares: tuple[float, float]) -> None:
         self.at = {t: k for k, t in enumerate(vocabulary)}
         self.idf = idf
+        # a word that holds a term of the index begins as one does
+        self.starts = {t.removeprefix("^").encode()[:3] for t in vocabulary}
         # similar examples side by side make tight bounds
         order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=vectors[i].get, default=-1), toxic[i], ids[i]))
         self.toxic, self.ids = toxic[order], [ids[i] for i in order]
@@ -74,7 +94,7 @@ class Index:
         self._postings = (np.array([p[0] for p in postings], np.int64), np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings]))
         np.maximum.at(self.most, (self._postings[0], self._postings[1] // BLOCK), self._postings[2])
         self._tiles = None
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._seen: dict[bytes, tuple[int, ...]] = {}
         # a vote counts as many labelled rows as its example stands for
         counts = np.bincount(toxic, minlength=2)
         self.weight = np.array([shares[c] / max(1, counts[c]) * len(ids) for c in (0, 1)])
@@ -86,23 +106,23 @@ class Index:
         return self.__dict__ | {"_tiles": None, "_seen": {}}
 
     def tiles(self) -> np.ndarray:
-        """The postings, block by block: a block's weights by term and example. Built where they are used."""
+        """The postings, block by block: a row for each term with its weights in the block's examples. Built where they are used."""
         if self._tiles is None:
-            self._tiles = np.zeros((self.blocks, len(self.at), BLOCK))
+            self._tiles = np.zeros((self.blocks * len(self.at), BLOCK))
             term, place, w = self._postings
-            self._tiles[place // BLOCK, term, place % BLOCK] = w
+            self._tiles[place // BLOCK * len(self.at) + term, place % BLOCK] = w
         return self._tiles
 
-    def _of_word(self, word: str) -> tuple[int, ...]:
+    def _of_word(self, word: bytes) -> tuple[int, ...]:
         if len(self._seen) > REMEMBERED:
             self._seen.clear()
-        got = self._seen[word] = tuple(self.at[t] for t in _of_word(word) if t in self.at)
+        got = self._seen[word] = tuple(self.at[t] for t in _of_word(word.decode("utf-8", "surrogatepass")) if t in self.at)
         return got
 
     def counts(self, text: str | None) -> Counter:
         """How often each of the index's terms occurs in a whole text."""
-        seen, out = self._seen, Counter()
-        for word, n in Counter(_TERM.findall((text or "").lower())).items():
+        starts, seen, out = self.starts, self._seen, Counter()
+        for word, n in Counter([w for w in words(text) if w[:3] in starts]).items():
             at = seen.get(word)
             for k in self._of_word(word) if at is None else at:
                 out[k] += n
@@ -118,17 +138,26 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the ``k`` nearest, nearest first, ties to the smaller place; cosine 0 never counts."""
-        bound, tiles = w @ self.most[at], self.tiles()
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # equal bounds may hold ties at smaller places, so only a smaller bound ends the search
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = w @ tiles[b][at]
-            hits = np.flatnonzero(score)
-            best += [(score[p], b * BLOCK + p) for p in hits.tolist() if b * BLOCK + p != without]
-            best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
-        return best
+        bound, tiles, step = w @ self.most[at], self.tiles(), max(1, ROWS // max(1, len(at)))
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
+        scores, places = np.empty(0), np.empty(0, np.int64)
+        for first in range(0, len(order), step):
+            blocks = order[first : first + step]
+            if len(scores) == k:
+                # equal bounds may hold ties at smaller places, so only a smaller bound ends the search
+                blocks = blocks[bound[blocks] >= scores[-1] - 1e-12]
+                if not len(blocks):
+                    break
+            got = (w @ tiles.take(blocks[:, None] * len(self.at) + at, axis=0)).ravel()
+            where = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got[where == without] = 0
+            # the k-th best of these alone or of those before: nothing below it is among the nearest
+            least = scores[-1] if len(scores) == k else np.partition(got, -k)[-k] if len(got) > k else 0
+            hits = np.flatnonzero(got >= least if least > 0 else got)
+            scores, places = np.concatenate([scores, got[hits]]), np.concatenate([places, where[hits]])
+            best = np.lexsort((places, -scores))[:k]
+            scores, places = scores[best], places[best]
+        return list(zip(scores.tolist(), places.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic votes; a vote's weight falls with the distance, one prior vote stands against certainty."""

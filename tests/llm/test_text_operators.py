@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -188,6 +189,55 @@ def test_toxicity_search_is_exact():
         assert [round(c, 9) for c, _ in near] == [round(c, 9) for c, _ in scores[: len(near)]]
 
 
+@settings(max_examples=150, deadline=None)
+@given(text=ODD)
+def test_toxicity_words_and_counts(text):
+    assert [w.decode() for w in toxicity.words(text)] == toxicity._TERM.findall(text.lower())
+    vocabulary = ["a", "é", "ß", "ab", "bcde", "^aab", "^ééß", "^漢字abc", "_", "0123"]
+    index = toxicity.Index(vocabulary, np.ones(10), [{0: 1.0}], np.array([1]), [1], (0.5, 0.5))
+    assert {vocabulary[k]: n for k, n in index.counts(text).items()} == {t: n for t, n in toxicity.terms(text).items() if t in vocabulary}
+
+
+def test_toxicity_words_of_many_symbols():
+    text = " ".join(f"w{chr(c)}é{k}" for k, c in enumerate(range(0x2190, 0x2BFF)))
+    steps = []
+    sys.setprofile(lambda _frame, event, _arg: steps.append(event))
+    try:
+        got = toxicity.words(text)
+    finally:
+        sys.setprofile(None)
+    assert [w.decode() for w in got] == toxicity._TERM.findall(text.lower()) and len(steps) < 100
+
+
+def test_toxicity_search_takes_few_steps():
+    """Blocks are scored many at a time, with ties and an example left out; words that can't hold a term are not looked up."""
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(2500):
+        w = np.round(rng.random(4), 1) + 0.1
+        vectors.append(dict(zip(rng.choice(12, 4, replace=False).tolist(), (w / np.linalg.norm(w)).tolist(), strict=True)))
+    vectors += vectors[:100] * 3
+    index = toxicity.Index([f"t{k}" for k in range(12)], np.ones(12), vectors, rng.integers(0, 2, 2800), list(range(2800)), (0.9, 0.1))
+    dense = np.zeros((2800, 12))
+    for place, i in enumerate(index.ids):
+        dense[place, list(vectors[i])] = list(vectors[i].values())
+    steps = []
+    for place in range(0, 2800, 70):
+        at = np.flatnonzero(dense[place])
+        w = dense[place][at]
+        sys.setprofile(lambda _frame, event, _arg: steps.append(event))
+        try:
+            near = index.nearest(at, w, 15, without=place)
+        finally:
+            sys.setprofile(None)
+        scores = dense[:, at] @ w
+        scores[place] = 0
+        assert [round(c, 9) for c, _ in near] == np.round(np.sort(scores)[::-1][:15], 9).tolist()
+        assert all(abs(scores[p] - c) < 1e-12 for c, p in near) and place not in {p for _, p in near} and near == sorted(near, key=lambda s: (-s[0], s[1]))
+    assert index.blocks == 44 and len(steps) / 40 < 150
+    assert index.counts(" ".join(f"word{k} t{k}" for k in range(1000))) == {k: 1 for k in range(12)} and not any(w.startswith(b"word") for w in index._seen)
+
+
 def test_toxicity_rows(spark):
     rng = np.random.default_rng(1)
     filler = lambda: " ".join(rng.choice([f"word{k}" for k in range(200)], 30))
